@@ -69,7 +69,7 @@ def _rounder(seed: int, last: bool):
     return run
 
 
-def mix(documents: DataFrame, targets: DataFrame, key: str, size: str, source: str = "source", seed: int = 7, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, key: str, size: str, source: str = "source", seed: int = 7, rows_per_task: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(selection, report).
 
     ``targets``: (source, target_share, max_repeats); a source listed twice is an error. The total is
@@ -78,7 +78,8 @@ def mix(documents: DataFrame, targets: DataFrame, key: str, size: str, source: s
     copies, those of other sources and of a null source are left out. Report: one row per target with
     ``tokens``, ``target_tokens``, ``expected_copies``, ``capped`` (even all repeats do not reach the
     target), ``actual_tokens`` and ``actual_share``; a target without documents has 0 tokens.
-    Documents are grouped by source and ``salts``, so a source that holds most rows is spread.
+    Documents are grouped by source and hash into groups of at most about ``rows_per_task``, so a source
+    that holds most rows is spread.
     """
     want = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int"))
     rows = want.collect()  # the configuration
@@ -89,6 +90,7 @@ def mix(documents: DataFrame, targets: DataFrame, key: str, size: str, source: s
         .where(F.col("source").isin([r["source"] for r in rows]))
     )
     listed = materialise(listed, "mix")
+    salts = max(1, -(-listed.count() // rows_per_task))
     held = {r["source"]: r["t"] for r in listed.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     total = sum(held.values())
     plan = []
