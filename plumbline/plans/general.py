@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import features, records, reviews, rolling, timestamps
+from plumbline.plans import general_sql
 from plumbline.session import table
 
 REVIEW_FIELDS = (
@@ -81,4 +82,4 @@ def p6_timestamps(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_features, p3_found, p3_rows, p4_found, p4_rolling, p6_found, p6_timestamps)}
-ORACLES: dict[str, str] = {}
+ORACLES = dict(general_sql.ORACLES)
