@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import token_count
-from plumbline.llm import components, mixing, neardup, packing, splitting, vectors
+from plumbline.llm import components, mixing, neardup, packing, queries_sql, splitting, vectors
 from plumbline.session import table
 
 CAPACITY = 2048
@@ -95,4 +95,4 @@ QUERIES = {
     f.__name__: f
     for f in (p2_found, p2_groups, p5_found, p5_neighbours, p7_found, p7_groups, p8_found, p8_containers, p9_found, p9_selection, p9_report, p10_found, p10_pieces)
 }
-ORACLES: dict[str, str] = {}
+ORACLES = dict(queries_sql.ORACLES)
