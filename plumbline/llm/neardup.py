@@ -22,7 +22,7 @@ from plumbline.functions.text import squeeze
 from plumbline.session import materialise
 
 GRAM = 4
-BITS = 48
+BITS = 112  # of a sketch: 64 in one word, the others above the set size in the second
 #: Copies of one text beyond this number are linked through their smallest id.
 COPIES = 100
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -46,8 +46,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner[inside], h[inside]
 
 
+def gram_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every distinct gram of at most 2048 texts, by one sort of packed words."""
+    owner, h = grams(texts)
+    packed = np.sort((owner.astype(np.uint64) << np.uint64(53)) | (h >> np.uint64(11)))
+    packed = packed[np.r_[True, packed[1:] != packed[:-1]]] if len(packed) else packed
+    return (packed >> np.uint64(53)).astype(np.int64), packed & np.uint64((1 << 53) - 1)
+
+
 def signatures(owner: np.ndarray, h: np.ndarray, n: int, rows: int, bands: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (n, bands) and bit sketches (n). Each of ``rows`` hash functions splits the grams over
+    """Band keys (n, bands) and bit sketches (n, BITS). Each of ``rows`` hash functions splits the grams over
     ``bands`` bins and keeps the least of each bin."""
     odd = np.random.default_rng(seed).integers(1, 2**63, size=rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     keys = np.zeros(n * bands, np.uint64)
@@ -62,8 +70,13 @@ def signatures(owner: np.ndarray, h: np.ndarray, n: int, rows: int, bands: int,
         wide = least.reshape(n, bands)[:, :take] if bands >= take else np.tile(least.reshape(n, bands), (1, -(-take // bands)))[:, :take]
         bits = np.concatenate([bits, (_mix(wide.astype(np.uint64) * _M[3], 33) & np.uint64(1)).astype(np.uint8)], axis=1)
     keys = _mix((keys.reshape(n, bands) + np.arange(bands, dtype=np.uint64)) * _M[1], 30)
-    sketch = (bits[:, :BITS].astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return keys, sketch
+    return keys, bits[:, :BITS]
+
+
+def words(bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches and set sizes as two words per text."""
+    as_word = lambda b: (b.astype(np.uint64) << np.arange(b.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return as_word(bits[:, :64]), (as_word(bits[:, 64:]) << np.uint64(16)) | np.minimum(size, 0xFFFF).astype(np.uint64)
 
 
 def _listed(rows: int, bands: int, seed: int):
@@ -77,37 +90,31 @@ def _listed(rows: int, bands: int, seed: int):
             texts = batch.column(1).take(pa.array(fresh)).to_pylist()
             for lo in range(0, len(fresh), 2000):
                 part = texts[lo : lo + 2000]
-                owner, h = grams(part)
-                order = np.lexsort((h, owner))
-                new = np.r_[True, (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])]
-                owner, h = owner[order][new], h[order][new]
-                size = np.bincount(owner, minlength=len(part))
-                keys, sketch = signatures(owner, h, len(part), rows, bands, seed)
-                note = (sketch << np.uint64(16)) | np.minimum(size, 0xFFFF).astype(np.uint64)
+                owner, h = gram_sets(part)
+                keys, bits = signatures(owner, h, len(part), rows, bands, seed)
+                low, high = words(bits, np.bincount(owner, minlength=len(part)))
                 text_id = np.array([ids[i] for i in fresh[lo : lo + 2000]], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(text_id, bands)), pa.array(np.repeat(note, bands).view(np.int64))],
-                    names=["k", "t", "s"],
-                )
+                each = [np.repeat(x, bands) for x in (text_id, low.view(np.int64), high.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel().view(np.int64), *each)], names=["k", "t", "s", "u"])
 
     return run
 
 
-def _agreeing(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether size and sketch of two entries allow the threshold."""
+def _agreeing(low: np.ndarray, high: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the sketches of entries i and j allow the threshold: bits agree with odds (1 + J) / 2."""
     least = (1 + threshold) / 2 * BITS
     slack = 3.3 * math.sqrt(BITS * (1 - threshold**2)) / 2
-    differ = np.bitwise_count((a ^ b) >> np.uint64(16))
+    differ = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count((high[i] ^ high[j]) >> np.uint64(16))
     return BITS - differ >= least - slack
 
 
-def candidate_pairs(k: np.ndarray, t: np.ndarray, s: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def candidate_pairs(k: np.ndarray, t: np.ndarray, s: np.ndarray, u: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different texts in a common list, visiting only the block of possible sizes."""
-    size = (s & np.uint64(0xFFFF)).astype(np.int64)
+    size = (u & np.uint64(0xFFFF)).astype(np.int64)
     order = np.lexsort((t, size, k))
-    k, t, s, size = k[order], t[order], s[order], size[order]
+    k, t, s, u, size = k[order], t[order], s[order], u[order], size[order]
     new = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])]
-    k, t, s, size = k[new], t[new], s[new], size[new]
+    k, t, s, u, size = k[new], t[new], s[new], u[new], size[new]
     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     which = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(k)]))
     # where each entry's block ends: the last position of its list whose size is within reach
@@ -123,7 +130,7 @@ def candidate_pairs(k: np.ndarray, t: np.ndarray, s: np.ndarray, threshold: floa
         i = np.repeat(todo[lo:hi], count[lo:hi])
         base = np.cumsum(count[lo:hi]) - count[lo:hi]
         j = i + 1 + np.arange(len(i)) - np.repeat(base, count[lo:hi])
-        keep = _agreeing(s[i], s[j], threshold)
+        keep = _agreeing(s, u, i, j, threshold)
         yield t[i[keep]], t[j[keep]]
         lo = hi
 
@@ -131,10 +138,10 @@ def candidate_pairs(k: np.ndarray, t: np.ndarray, s: np.ndarray, threshold: floa
 def _pairs(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Input in order of k; whole lists are handed on as they fill a piece."""
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def work(k, t, s):
-            for a, b in candidate_pairs(k, t, s.view(np.uint64), threshold):
+        def work(k, t, s, u):
+            for a, b in candidate_pairs(k, t, s.view(np.uint64), u.view(np.uint64), threshold):
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
@@ -143,25 +150,25 @@ def _pairs(threshold: float):
             held.append(tuple(c.to_numpy() for c in batch.columns))
             rows += batch.num_rows
             if rows > 400_000:
-                k, t, s = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = int(np.searchsorted(k, k[-1], "left"))
-                held = [(k[cut:], t[cut:], s[cut:])]
-                rows = len(k) - cut
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))
+                held = [tuple(c[cut:] for c in columns)]
+                rows = len(columns[0]) - cut
                 if cut:
-                    yield from work(k[:cut], t[:cut], s[:cut])
+                    yield from work(*(c[:cut] for c in columns))
         if held:
             yield from work(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def gram_set(text: str) -> frozenset[str]:
-    return frozenset(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))
+def gram_set(text: str) -> set[str]:
+    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
 
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, frozenset[str]] = ("", frozenset())
+        last: tuple[str, set[str]] = ("", set())
         for batch in batches:
             keep, value = [], []
             for row, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
@@ -206,7 +213,7 @@ def similar_texts(
         .select("id", F.xxhash64("x").alias("t"), "x")
     )
     members = plain.select(F.col("id").alias(key), F.col("t").alias("text_id")).distinct()
-    lists = plain.select("t", "x").mapInArrow(_listed(rows, bands, seed), "k long, t long, s long")
+    lists = plain.select("t", "x").mapInArrow(_listed(rows, bands, seed), "k long, t long, s long, u long")
     pairs = (
         lists.repartition("k").sortWithinPartitions("k").mapInArrow(_pairs(threshold), "a long, b long").distinct()
     )
