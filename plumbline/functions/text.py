@@ -18,7 +18,9 @@ def token_count(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Lower case, white space runs made one blank, trimmed."""
-    return F.btrim(F.regexp_replace(F.lower(text), rf"[{SPACE}]+", " "))
+    low = F.lower(text)
+    uneven = text.rlike(rf"[{SPACE}&&[^ ]]|  ")  # most texts have single blanks only
+    return F.btrim(F.when(uneven, F.regexp_replace(low, rf"[{SPACE}]+", " ")).otherwise(low))
 
 
 def source_key(source: Column) -> Column:
