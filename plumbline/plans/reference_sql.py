@@ -102,8 +102,8 @@ def _dominant(side: str) -> str:
 SHIFT = f"""{BURST},
 win AS (SELECT e.place_id, e.day, {", ".join(f"sum(CASE WHEN d.day < e.day - 1 THEN d.r{s} ELSE 0 END) AS b{s}, sum(CASE WHEN d.day >= e.day - 1 THEN d.r{s} ELSE 0 END) AS e{s}" for s in range(1, 6))}
   FROM bursts e JOIN daily d ON d.place_id = e.place_id AND d.day BETWEEN e.day - 30 AND e.day + 1 WHERE e.observed >= 5 GROUP BY ALL),
-tot AS (SELECT *, b1 + b2 + b3 + b4 + b5 AS b, e1 + e2 + e3 + e4 + e5 AS e FROM win),
-dist AS (SELECT place_id, day, {", ".join(f"{r(f'b{s} / b', 4)} AS p{s}, {r(f'e{s} / e', 4)} AS q{s}" for s in range(1, 6))} FROM tot WHERE b > 0 AND e > 0),
+wtot AS (SELECT *, b1 + b2 + b3 + b4 + b5 AS b, e1 + e2 + e3 + e4 + e5 AS e FROM win),
+dist AS (SELECT place_id, day, {", ".join(f"{r(f'b{s} / b', 4)} AS p{s}, {r(f'e{s} / e', 4)} AS q{s}" for s in range(1, 6))} FROM wtot WHERE b > 0 AND e > 0),
 js AS (SELECT *, {r(_jsd(), 4)} AS jsd, greatest(q1, q2, q3, q4, q5) AS top_share FROM dist),
 shifts AS (SELECT place_id, day, jsd, top_share, {_dominant('p')} AS baseline_rating, {_dominant('q')} AS event_rating,
   CASE WHEN jsd >= 0.1 AND top_share >= 0.7 THEN 'HIGH' WHEN jsd >= 0.05 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
