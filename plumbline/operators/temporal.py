@@ -43,11 +43,20 @@ def burst_events(daily: DataFrame, cfg: BurstConfig = CONFIG.burst) -> DataFrame
     """Days whose volume stands out from the median and MAD of the ``window`` calendar days before.
 
     The first ``window`` days of a place have no baseline. Only MEDIUM and HIGH days are returned.
+    Only days with ``min_reviews`` look back, by an equi-join on the days before them; days without
+    reviews are added as zeros, so no calendar is built.
     """
-    w = Window.partitionBy("place_id").orderBy("day").rowsBetween(-cfg.window, -1)
-    base = fill_calendar(daily).withColumn("b", F.collect_list("n").over(w))
-    seen = base.where((F.size("b") == cfg.window) & (F.col("n") >= cfg.min_reviews)).withColumn("med", _middle(F.col("b")))
-    seen = seen.withColumn("mad", _middle(F.transform("b", lambda x: F.abs(x - F.col("med")))))
+    first = daily.groupBy("place_id").agg(F.min("day").alias("first"))
+    busy = daily.where(F.col("n") >= cfg.min_reviews).join(first, "place_id").where(F.datediff("day", "first") >= cfg.window)
+    before = busy.select("place_id", F.col("day").alias("event"), F.explode(F.sequence(F.lit(1), F.lit(cfg.window))).alias("o"))
+    before = before.withColumn("day", F.date_sub("event", F.col("o"))).join(daily.select("place_id", "day", "n"), ["place_id", "day"])
+    seen = before.groupBy("place_id", F.col("event").alias("day")).agg(F.collect_list("n").alias("b"))  # at most one per day
+    base = busy.join(seen, ["place_id", "day"], "left").withColumn("b", F.coalesce("b", F.array().cast("array<bigint>")))
+    base = base.withColumn("b", F.concat("b", F.array_repeat(F.lit(0).cast("long"), F.lit(cfg.window) - F.size("b"))))
+    seen = base.withColumn("med", _middle(F.col("b")))
+    # the median goes in as an array: a lambda would compute it again for every element
+    away = F.zip_with("b", F.array_repeat("med", cfg.window), lambda x, m: F.abs(x - m))
+    seen = seen.withColumn("mad", _middle(away))
     z = F.lit(0.6745) * (F.col("n") - F.col("med")) / F.greatest(F.col("mad"), F.lit(1.0))
     scored = seen.withColumn("z", z).withColumn("mult", F.col("n") / F.greatest(F.col("med"), F.lit(1.0)))
     severity = (

@@ -50,11 +50,13 @@ def content_tokens(text: Column, least: int = 1) -> Column:
 def ngrams(tokens: Column, n: int) -> Column:
     """Adjacent n-grams joined by a blank, in order and with repeats.
 
-    ``tokens`` should be a column, not an expression: the lambda reads it for every position.
+    Zips the tokens with themselves shifted, so no lambda reads the whole array for every position.
     """
-    return F.when(F.size(tokens) < n, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    )
+    out = tokens
+    for k in range(1, n):
+        left = F.greatest(F.size(tokens) - k, F.lit(0))
+        out = F.zip_with(F.slice(out, F.lit(1), left), F.slice(tokens, F.lit(k + 1), left), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def sentences(text: Column) -> Column:

@@ -35,7 +35,7 @@ def mean_cosine(vectors: DataFrame, group: str, vector: str, dim: int) -> DataFr
     1 for a single vector. Zero vectors and vectors of another length are left out."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
     live = vectors.where(F.size(vector) == dim).withColumn("__n", norm).where("__n > 0")
-    unit = live.select(group, array_to_vector(F.transform(vector, lambda x: x / F.col("__n"))).alias("u"))
+    unit = live.select(group, array_to_vector(F.zip_with(vector, F.array_repeat("__n", dim), lambda x, n: x / n)).alias("u"))
     sums = unit.groupBy(group).agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("u")).alias("s")).withColumn("s", vector_to_array("s"))
     sq = F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)
     return sums.select(group, "n", rnd(F.when(F.col("n") < 2, 1.0).otherwise((sq - F.col("n")) / (F.col("n") * (F.col("n") - 1))), 6).alias("mean_cosine"))
