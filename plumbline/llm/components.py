@@ -93,13 +93,15 @@ def connected_groups(
         # the smallest root of each vertex; its other roots are linked to that one
         least = trees.groupBy("v").agg(F.min("r").alias("m"))
         merged.append(materialise(least, "roots"))
-        graph = trees.join(merged[-1], "v").where("r != m").select(F.col("r").alias("v"), F.col("m").alias("r"))
+        links = trees.join(merged[-1], "v").where("r != m").select(F.col("r").alias("v"), F.col("m").alias("r"))
+        # a vertex that is the root of another tree takes its own link along
+        heads = trees.select(F.col("r").alias("v")).distinct()
+        graph = links.union(merged[-1].join(heads, "v", "left_semi").select("v", F.col("m").alias("r")))
     labels = trees.coalesce(1).mapInArrow(_forests, "v string, r string")
     for roots in reversed(merged):
         upper = labels.select(F.col("v").alias("m"), F.col("r").alias("top"))
-        own = roots.join(upper, "m", "left").select("v", F.coalesce("top", "m").alias("r"))
-        # roots of this level that are no vertex of it themselves keep the label of the level above
-        labels = own.union(labels.join(roots.select("v"), "v", "left_anti"))
+        own = roots.join(labels.select("v"), "v", "left_anti").join(upper, "m", "left").select("v", F.coalesce("top", "m").alias("r"))
+        labels = materialise(own.union(labels), "labels")
     heads = labels.select(F.col("r").alias("v")).distinct().select("v", F.col("v").alias("r"))
     return labels.union(heads).select(F.col("v").alias(out), F.col("r").alias("group_id"))
 
