@@ -128,7 +128,7 @@ def _alloc(target: int) -> str:
 ORACLES["largest_remainder"] = f"WITH {RV}, {_alloc(1000)} SELECT place_id, n, allocated::BIGINT AS allocated FROM al"
 ORACLES["proportional_sample"] = f"""WITH {RV}, {_alloc(500)}, k AS (SELECT review_id, rv.place_id, allocated, row_number() OVER (PARTITION BY rv.place_id ORDER BY sha256('3:' || review_id), review_id) AS k
   FROM rv JOIN al ON al.place_id = rv.place_id) SELECT review_id, place_id FROM k WHERE k <= allocated"""
-ORACLES["cumulative_pick"] = f"WITH {RV}, {SIZES}, c AS (SELECT *, sum(n) OVER (ORDER BY n DESC, place_id ROWS UNBOUNDED PRECEDING) AS c FROM sizes) SELECT place_id, n FROM c WHERE c - n < 2000"
+ORACLES["cumulative_pick"] = f"WITH {RV}, {SIZES}, c AS (SELECT *, sum(n) OVER (ORDER BY n DESC, place_id ROWS UNBOUNDED PRECEDING) AS c FROM sizes) SELECT place_id, n FROM c WHERE c - n < (SELECT ceil(sum(n) / 3) FROM sizes)"
 ORACLES["place_band"] = f"WITH {RV}, {SIZES} SELECT place_id, n FROM sizes WHERE n BETWEEN 30 AND 150 ORDER BY n DESC, place_id LIMIT 250"
 
 
