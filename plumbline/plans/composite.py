@@ -19,25 +19,30 @@ def query(f):
     return f
 
 
+def _reviews(spark, d):
+    """The review view as a table: the composite scores read it many times."""
+    return materialise(rv(spark, d), "reviews")
+
+
 @query
 def templated_scores(spark, d):
-    return scoring.templated_scores(rv(spark, d))
+    return scoring.templated_scores(_reviews(spark, d))
 
 
 @query
 def coordinated_places(spark, d):
-    r = rv(spark, d)
+    r = _reviews(spark, d)
     return scoring.coordinated_places(r, scoring.templated_scores(r))
 
 
 @query
 def review_evidence(spark, d):
-    r = rv(spark, d)
+    r = _reviews(spark, d)
     return scoring.review_evidence(r, scoring.templated_scores(r))
 
 
 def _weights(spark, d):
-    r = materialise(rv(spark, d), "reviews")
+    r = _reviews(spark, d)
     evidence = materialise(scoring.review_evidence(r, scoring.templated_scores(r)), "evidence")
     return scoring.review_weights(r, evidence, AS_OF)
 

@@ -69,7 +69,7 @@ near AS (
     epoch(timezone(zone, to_timestamp(w + 86400)))::BIGINT - (w + 86400) AS o2 FROM zoned
 ),
 inst AS (
-  SELECT review_id, place_id, reviewer_id, place_category, rating, published_at,
+  SELECT review_id, place_id, reviewer_id, place_category, rating, published_at, off, p, o1, o2, w, zone,
     CASE WHEN p[1] = 'e' THEN rpad(p[2], 16, '0')::BIGINT ELSE wus - 1000000 * (CASE WHEN off IS NOT NULL THEN off
       WHEN epoch(timezone(zone, to_timestamp(w - o1)))::BIGINT - (w - o1) = o1 THEN o1
       WHEN epoch(timezone(zone, to_timestamp(w - o2)))::BIGINT - (w - o2) = o2 THEN o2 ELSE o1 END) END AS us
@@ -128,4 +128,24 @@ h AS (
 )
 SELECT line_id, reason FROM h WHERE reason IS NOT NULL"""
 
-ORACLES = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p6_found": P6_FOUND}
+def _window(w: int) -> str:
+    over = f"OVER (PARTITION BY place_id ORDER BY day ROWS {w - 1} PRECEDING)"
+    return f"""(sum(n) {over})::BIGINT AS events_{w}, (sum(s) {over})::DOUBLE AS value_sum_{w}, (sum(s) {over})::DOUBLE / nullif(sum(k) {over}, 0)::DOUBLE AS value_avg_{w},
+  (min(lo) {over})::DOUBLE AS value_min_{w}, (max(hi) {over})::DOUBLE AS value_max_{w}"""
+
+
+P4_ROLLING = f"""WITH {INSTANTS},
+daily AS (SELECT place_id, make_timestamp(us)::DATE AS day, count(*) AS n, count(rating) AS k, coalesce(sum(rating), 0) AS s, min(rating) AS lo, max(rating) AS hi
+  FROM inst WHERE us IS NOT NULL AND place_id IS NOT NULL GROUP BY ALL),
+calendar AS (SELECT place_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day, min(day) AS first FROM daily GROUP BY place_id),
+filled AS (SELECT c.place_id, c.day, c.first, coalesce(n, 0) AS n, coalesce(k, 0) AS k, coalesce(s, 0) AS s, lo, hi FROM calendar c LEFT JOIN daily d ON c.place_id = d.place_id AND c.day = d.day)
+SELECT place_id, day AS activity_day, (date_diff('day', first, day) + 1)::INT AS day_number, n AS events, {_window(7)}, {_window(30)} FROM filled"""
+
+P6_TIMESTAMPS = rf"""WITH {INSTANTS}
+SELECT review_id, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') AS published_utc, NOT coalesce(regexp_full_match(published_at, '{CANONICAL}'), false) AS rewritten,
+  CASE WHEN us IS NULL THEN NULL WHEN off IS NOT NULL OR p[1] = 'e' THEN 'exact'
+    WHEN (o1 != o2) AND epoch(timezone(zone, to_timestamp(w - o1)))::BIGINT - (w - o1) = o1 AND epoch(timezone(zone, to_timestamp(w - o2)))::BIGINT - (w - o2) = o2 THEN 'ambiguous'
+    WHEN epoch(timezone(zone, to_timestamp(w - o1)))::BIGINT - (w - o1) = o1 OR epoch(timezone(zone, to_timestamp(w - o2)))::BIGINT - (w - o2) = o2 THEN 'exact' ELSE 'nonexistent' END AS zone_note
+FROM inst"""
+
+ORACLES = {"p4_rolling": P4_ROLLING, "p6_timestamps": P6_TIMESTAMPS, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p6_found": P6_FOUND}
