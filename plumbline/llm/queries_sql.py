@@ -26,6 +26,12 @@ c AS (SELECT a.review_id AS x, b.review_id AS y, round(list_cosine_similarity(a.
 k AS (SELECT x, y FROM c WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) <= 5)
 SELECT DISTINCT least(x, y) AS review_id_a, greatest(x, y) AS review_id_b FROM k"""
 
+P7_FOUND = f"""WITH t AS (SELECT DISTINCT review_id, trim(regexp_replace(lower(text), '{_S}+', ' ', 'g')) AS x FROM reviews WHERE review_id IS NOT NULL AND length(text) >= 100),
+n AS (SELECT row_number() OVER (ORDER BY review_id)::INT AS i, review_id, list_distinct(list_transform(range(1, length(x) - 2), lambda k: x[k:k + 3])) AS s FROM t WHERE length(x) >= 100),
+e AS (SELECT i, hash(unnest(s)) AS g FROM n),
+c AS (SELECT a.i AS x, b.i AS y, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.i < b.i GROUP BY ALL)
+SELECT a.review_id AS review_id_a, b.review_id AS review_id_b FROM c JOIN n a ON a.i = c.x JOIN n b ON b.i = c.y WHERE k >= 0.7 * (len(a.s) + len(b.s) - k)"""
+
 P8_FOUND = f"SELECT doc_id FROM documents WHERE {tokens('text')} > 2048"
 
 P9_FOUND = f"""WITH t AS (
@@ -39,4 +45,4 @@ p AS (SELECT doc_id, list_max(list_transform(regexp_split_to_array(regexp_replac
   lambda x: {tokens('x')})) AS most FROM d)
 SELECT doc_id, (most > 512)::INT AS forced_cut FROM p"""
 
-ORACLES = {"p2_found": P2_FOUND, "p5_found": P5_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p10_found": P10_FOUND}
+ORACLES = {"p2_found": P2_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p10_found": P10_FOUND}
