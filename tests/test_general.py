@@ -41,6 +41,27 @@ def test_features_match_a_plain_count(spark):
         features.type_list(df, "place_category", 2)
 
 
+def test_features_of_each_type_match_a_plain_count(spark):
+    rng = random.Random(2)
+    days = [dt.date(2024, 1, k) for k in (1, 2, 9)] + [None, None]
+    rows = [(rng.choice(["u1", "u2", "u3", None]), rng.choice(["x", "y", "a.b`c", "z", None]), rng.choice([1, 5, None]), rng.choice(days)) for _ in range(60)]
+    rows += [("u4", "x", None, None)]
+    df = spark.createDataFrame(rows, "reviewer_id string, place_category string, rating int, utc_day date")
+    long = features.entity_type_table(df, "reviewer_id", "place_category")
+    got = {r["reviewer_id"]: r.asDict() for r in features.entity_features(long, "reviewer_id", "place_category", ["x", "y", "a.b`c"], "2024-02-01").collect()}
+    assert set(got) == {"u1", "u2", "u3", "u4"}
+    for who, row in got.items():
+        for kind in ("x", "y", "a.b`c", "other"):
+            own = [r for r in rows if r[0] == who and (r[1] == kind or kind == "other" and r[1] in ("z", None))]
+            dated, rated = sorted(r[3] for r in own if r[3]), [r[2] for r in own if r[2] is not None]
+            want = {
+                "n": len(own), "dated_count": len(dated), "first_day": dated[0] if dated else None, "last_day": dated[-1] if dated else None,
+                "active_period_days": max(1, (dated[-1] - dated[0]).days) if dated else None, "recency_days": (dt.date(2024, 2, 1) - dated[-1]).days if dated else None,
+                "rating_sum": sum(rated) if rated else None, "rating_avg": sum(rated) / len(rated) if rated else None,
+            }
+            assert {c: row[f"{c}_{kind}"] for c in want} == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(-5, 5), min_size=1, max_size=25), min_size=1, max_size=5), st.integers(1, 9), st.sampled_from(["sum", "min", "max"]))
 def test_two_stack_equals_brute_force(runs, window, how):
