@@ -23,8 +23,10 @@ from plumbline.session import materialise
 
 GRAM = 4
 BITS = 112  # of a sketch: 64 in one word, the others above the set size in the second
-#: Copies of one text beyond this number are linked through their smallest id.
+#: Copies of one text beyond this number are linked through their smallest id by ``expand_pairs``.
 COPIES = 100
+#: Mean number of copies in a block of ``all_pairs``.
+BLOCK = 500
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -243,3 +245,32 @@ def expand_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     star = members.join(heads.where("many").select("text_id", F.col("ids")[0].alias("x")), "text_id").where(F.col(key) != F.col("x"))
     all_ = across.unionByName(within).unionByName(star.select("x", F.col(key).alias("y")))
     return all_.where("x != y").select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()
+
+
+def all_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(<key>_a, <key>_b), a < b: every pair of keys with equal or linked texts, one row per pair.
+
+    The copies of a text are dealt over blocks of about ``BLOCK`` keys, so a task's unit of work is a pair
+    of blocks, however many copies a text has; the result does not depend on ``BLOCK``.
+    """
+    members = materialise(members.select("text_id", key), "members")
+    # broadcast: at most one row per BLOCK members
+    many = members.groupBy("text_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    many = materialise(many.select("text_id", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "blocks")
+    count = F.coalesce("blocks", F.lit(1))
+    dealt = members.join(F.broadcast(many), "text_id", "left").withColumn("block", F.pmod(F.xxhash64(key), count).cast("int"))
+    blocks = dealt.groupBy("text_id", "block").agg(F.sort_array(F.collect_list(key)).alias("ids"))
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+    sides = links.select("a", "b")
+    for t, p in (("a", "p"), ("b", "q")):
+        own = F.broadcast(many.select(F.col("text_id").alias(t), "blocks"))
+        sides = sides.join(own, t, "left").select("*", numbers(F.col("blocks")).alias(p)).drop("blocks")
+    same = many.select("text_id", "blocks", numbers(F.col("blocks")).alias("p")).select("*", numbers(F.col("blocks")).alias("q")).where("p < q")
+    apart = sides.unionByName(same.select(F.col("text_id").alias("a"), F.col("text_id").alias("b"), "p", "q"))
+    left = blocks.select(F.col("text_id").alias("a"), F.col("block").alias("p"), F.col("ids").alias("ia"))
+    right = blocks.select(F.col("text_id").alias("b"), F.col("block").alias("q"), F.col("ids").alias("ib"))
+    across = apart.join(left, ["a", "p"]).join(right, ["b", "q"]).select(F.explode("ia").alias("x"), "ib").select("x", F.explode("ib").alias("y"))
+    several = blocks.where(F.size("ids") > 1).select(F.posexplode("ids").alias("i", "x"), "ids")
+    within = several.select("x", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("y"))
+    both = across.unionByName(within).where("x != y")
+    return both.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()

@@ -40,7 +40,7 @@ def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.expand_pairs(*_p7(spark, d), "review_id")
+    return neardup.all_pairs(*_p7(spark, d), "review_id")
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -182,3 +182,22 @@ def test_many_copies_are_linked_through_one(spark, monkeypatch):
     members, links = neardup.similar_texts(spark.createDataFrame(rows, "review_id string, text string"), "review_id", "text", recall=0.999)
     got = {tuple(r) for r in neardup.expand_pairs(members, links, "review_id").collect()}
     assert got == {("c00", f"c{i:02d}") for i in range(1, 20)} | {("c00", "d")}
+
+
+@pytest.mark.parametrize("block", [4, 500])
+def test_all_copies_are_linked(spark, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    text, other = "the same sentence again and again, " * 5, "another matter that nobody else has written of, " * 5
+    copies = {"c": text, "d": text + "but once.", "e": text + "but once!", "f": other}
+    rows = [(f"{k}{i:03d}", copies[k]) for k, n in (("c", 120), ("d", 7), ("e", 1), ("f", 6)) for i in range(n)]
+    members, links = neardup.similar_texts(spark.createDataFrame(rows * 2, "review_id string, text string"), "review_id", "text", recall=0.999)
+    got = [tuple(r) for r in neardup.all_pairs(members, links, "review_id").collect()]
+    ids = sorted(k for k, _ in rows)
+    assert sorted(got) == [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (a[0] == "f") == (b[0] == "f")]
+
+
+def test_p7_found_has_every_copy(spark, tmp_path):
+    text = "the same sentence again and again, " * 5
+    rows = [(f"c{i:03d}", text) for i in range(103)] + [("d", text + "but once.")]
+    spark.createDataFrame(rows, "review_id string, text string").write.parquet(f"{tmp_path}/reviews.parquet")
+    assert queries.p7_found(spark, str(tmp_path)).count() == 104 * 103 // 2
