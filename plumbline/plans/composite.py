@@ -94,7 +94,8 @@ def _labelled(spark, d):
 @query
 def confusion_sweep(spark, d):
     truth = F.when(F.col("templated_label") == "templated", True).when(F.col("templated_label") == "organic", False)
-    return validation.threshold_sweep(_labelled(spark, d).withColumn("score", 100 - F.col("specificity")), "score", truth)
+    scores = scoring.templated_scores(_reviews(spark, d)).select("review_id", "templated")
+    return validation.threshold_sweep(_labels(spark, d).join(scores, "review_id"), "templated", truth)
 
 
 @query

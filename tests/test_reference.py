@@ -74,3 +74,13 @@ def test_specificity_and_rank_correlation(spark):
     pairs = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, 9.0), (3, 9.0)], "x int, y double")
     assert validation.spearman(pairs, "x", "y").first()["spearman"] == 1.0
     assert validation.spearman(pairs.limit(2), "x", "y").first()["spearman"] is None
+
+
+def test_sweep_is_of_the_templated_score(spark):
+    score = {r["review_id"]: r["templated"] for r in entry.queries()["templated_scores"](spark, DATA).collect()}
+    labels = entry.queries()["cleaned_labels"](spark, DATA).collect()
+    used = [(score[x["review_id"]], x["templated_label"] == "templated") for x in labels if x["review_id"] in score and x["templated_label"] in ("templated", "organic")]
+    got = {r["threshold"]: (r["tp"], r["fp"], r["fn"], r["tn"]) for r in entry.queries()["confusion_sweep"](spark, DATA).collect()}
+    count = lambda t, over, truth: sum((s >= t) == over and y == truth for s, y in used)
+    assert got == {t: (count(t, True, True), count(t, True, False), count(t, False, True), count(t, False, False)) for t in range(0, 101, 5)}
+    assert len(used) > 5
