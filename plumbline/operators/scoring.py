@@ -75,7 +75,7 @@ def review_evidence(rv: DataFrame, templated: DataFrame) -> DataFrame:
     daily = temporal.daily_counts(rv)
     events = temporal.burst_events(daily)
     shifts = temporal.rating_shifts(daily, events)
-    strength = temporal.day_strengths(events, shifts)
+    strength = temporal.agreed_strengths(events, shifts)
     marked = temporal.event_days(events, shifts).withColumn("on_event", F.lit(1))
     dup = exact_membership(rv).select("review_id", rnd(F.least(F.lit(1.0), F.col("family_size") / 5.0), 3).alias("duplicate"))
     busy = daily.join(marked, ["place_id", "day"]).groupBy("place_id").agg(F.sum("n").alias("event_reviews"))

@@ -147,9 +147,21 @@ def event_days(events: DataFrame, shifts: DataFrame) -> DataFrame:
     return events.select("place_id", "day").union(around).distinct()
 
 
-def day_strengths(events: DataFrame, shifts: DataFrame) -> DataFrame:
-    """(place_id, day, burst, shift): the largest z / 10 and jsd / 0.3 of events at most a day away, up to 1."""
+def _near_strengths(events: DataFrame, shifts: DataFrame, shift: Column) -> DataFrame:
     near = lambda df, v: df.select("place_id", F.explode(F.array(F.date_sub("day", 1), F.col("day"), F.date_add("day", 1))).alias("day"), v)
     b = near(events, clamp(F.col("z_score") / 10, 0.0, 1.0).alias("v")).groupBy("place_id", "day").agg(F.max("v").alias("burst"))
-    s = near(shifts, clamp(F.col("jsd") / 0.3, 0.0, 1.0).alias("v")).groupBy("place_id", "day").agg(F.max("v").alias("shift"))
+    s = near(shifts, shift.alias("v")).groupBy("place_id", "day").agg(F.max("v").alias("shift"))
     return b.join(s, ["place_id", "day"], "full").select("place_id", "day", rnd(F.coalesce("burst", F.lit(0.0)), 4).alias("burst"), rnd(F.coalesce("shift", F.lit(0.0)), 4).alias("shift"))
+
+
+def day_strengths(events: DataFrame, shifts: DataFrame) -> DataFrame:
+    """(place_id, day, burst, shift): the largest z / 10 and jsd / 0.3 of events at most a day away, up to 1."""
+    return _near_strengths(events, shifts, clamp(F.col("jsd") / 0.3, 0.0, 1.0))
+
+
+def agreed_strengths(events: DataFrame, shifts: DataFrame) -> DataFrame:
+    """``day_strengths`` whose shifts count by how much of their ratings are one star: in full from a share of
+    0.7, by half from 0.5, by 0.15 from 0.3, else not at all."""
+    share = F.col("top_share")
+    agreement = F.when(share >= 0.7, 1.0).when(share >= 0.5, 0.5).when(share >= 0.3, 0.15).otherwise(0.0)
+    return _near_strengths(events, shifts, clamp(F.col("jsd") / 0.3, 0.0, 1.0) * agreement)

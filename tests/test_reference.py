@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from plumbline.operators import graph, sampling, temporal, texts, validation
+from plumbline.operators import graph, sampling, scoring, temporal, texts, validation
 
 DATA = "/root/testdata/sf0.001"
 CHEAP = (
@@ -84,3 +84,23 @@ def test_sweep_is_of_the_templated_score(spark):
     count = lambda t, over, truth: sum((s >= t) == over and y == truth for s, y in used)
     assert got == {t: (count(t, True, True), count(t, True, False), count(t, False, True), count(t, False, False)) for t in range(0, 101, 5)}
     assert len(used) > 5
+
+
+@pytest.mark.parametrize("ratings, step", [([5] * 40, 1.0), ([1] * 24 + [5] * 16, 0.5), ([1] * 16 + [2] * 12 + [3] * 12, 0.15), ([1, 2, 3, 4] * 10, 0.0)])
+def test_a_shift_of_spread_ratings_counts_less_as_evidence(spark, ratings, step):
+    start = dt.date(2026, 1, 1)
+    days = [(start + dt.timedelta(days=k), [4, 5]) for k in range(0, 60, 2)] + [(start + dt.timedelta(days=70), ratings)]
+    rows = [(f"r{d}-{i}", "p", day, x, f"text {d} {i}") for d, (day, xs) in enumerate(days) for i, x in enumerate(xs)]
+    rv = spark.createDataFrame(rows, "review_id string, place_id string, day date, rating int, text string")
+    daily = temporal.daily_counts(rv)
+    events = temporal.burst_events(daily)
+    (event,), (shift,) = events.collect(), temporal.rating_shifts(daily, events).collect()
+    share = max(ratings.count(s) for s in range(1, 6)) / len(ratings)
+    assert shift["top_share"] == round(share, 4) and step == (1.0 if share >= 0.7 else 0.5 if share >= 0.5 else 0.15 if share >= 0.3 else 0.0)
+    burst, moved = min(1.0, event["z_score"] / 10), min(1.0, shift["jsd"] / 0.3)
+    near = {r["day"]: r["shift"] for r in temporal.agreed_strengths(events, temporal.rating_shifts(daily, events)).collect()}
+    assert near == {start + dt.timedelta(days=k): pytest.approx(moved * step, abs=1e-4) for k in (69, 70, 71)}
+    templated = spark.createDataFrame([(r[0], 0.0) for r in rows], "review_id string, templated double")
+    got = {r["review_id"]: r["coordinated"] for r in scoring.review_evidence(rv, templated).collect()}
+    dense = 0.5 + 0.5 * min(1.0, (len(ratings) - 1) / len(rows))
+    assert got["r30-0"] == pytest.approx(0.35 * burst * (0.5 + 0.5 * moved * step) + 0.15 * dense, abs=0.002) and moved > 0.1
