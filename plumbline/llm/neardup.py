@@ -102,15 +102,24 @@ def _listed(rows: int, bands: int, seed: int):
     return run
 
 
-def _agreeing(low: np.ndarray, high: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the sketches of entries i and j allow the threshold: bits agree with odds (1 + J) / 2."""
-    least = (1 + threshold) / 2 * BITS
-    slack = 3.3 * math.sqrt(BITS * (1 - threshold**2)) / 2
+def sketch_bound(threshold: float, recall: float) -> tuple[int, float]:
+    """(bits that sketches must agree in to be compared, expected share of pairs exactly at the threshold lost by that).
+
+    Bits agree with odds (1 + J) / 2; the share lost is at most a tenth of ``1 - recall``.
+    """
+    p, lost, least = (1 + threshold) / 2, 0.0, 0
+    while lost + (more := math.comb(BITS, least) * p**least * (1 - p) ** (BITS - least)) <= (1 - recall) / 10:
+        lost, least = lost + more, least + 1
+    return least, lost
+
+
+def _agreeing(low: np.ndarray, high: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
+    """Whether the sketches of entries i and j agree in at least ``least`` bits."""
     differ = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count((high[i] ^ high[j]) >> np.uint64(16))
-    return BITS - differ >= least - slack
+    return BITS - differ >= least
 
 
-def candidate_pairs(k: np.ndarray, t: np.ndarray, s: np.ndarray, u: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def candidate_pairs(k: np.ndarray, t: np.ndarray, s: np.ndarray, u: np.ndarray, threshold: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different texts in a common list, visiting only the block of possible sizes."""
     size = (u & np.uint64(0xFFFF)).astype(np.int64)
     order = np.lexsort((t, size, k))
@@ -132,18 +141,18 @@ def candidate_pairs(k: np.ndarray, t: np.ndarray, s: np.ndarray, u: np.ndarray,
         i = np.repeat(todo[lo:hi], count[lo:hi])
         base = np.cumsum(count[lo:hi]) - count[lo:hi]
         j = i + 1 + np.arange(len(i)) - np.repeat(base, count[lo:hi])
-        keep = _agreeing(s, u, i, j, threshold)
+        keep = _agreeing(s, u, i, j, least)
         yield t[i[keep]], t[j[keep]]
         lo = hi
 
 
-def _pairs(threshold: float):
+def _pairs(threshold: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Input in order of k; whole lists are handed on as they fill a piece."""
         held: list[tuple[np.ndarray, ...]] = []
 
         def work(k, t, s, u):
-            for a, b in candidate_pairs(k, t, s.view(np.uint64), u.view(np.uint64), threshold):
+            for a, b in candidate_pairs(k, t, s.view(np.uint64), u.view(np.uint64), threshold, least):
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
@@ -191,9 +200,10 @@ def _verified(threshold: float):
 
 def banding(rows_of_table: int, threshold: float, recall: float) -> tuple[int, int]:
     """(hashes per band, bands): more hashes for larger tables, so lists stay short, and as many bands
-    as give ``recall`` for pairs exactly at the threshold."""
+    as give ``recall`` for pairs exactly at the threshold, after what their sketches lose."""
     rows = max(5, round(math.log(max(2, rows_of_table), 4)) - 3)
-    return rows, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+    listed = recall / (1 - sketch_bound(threshold, recall)[1])
+    return rows, math.ceil(math.log(1 - listed) / math.log(1 - threshold**rows))
 
 
 def similar_texts(
@@ -204,7 +214,8 @@ def similar_texts(
     Members: one row (key, ``text_id``) per key and text of at least ``min_chars`` characters; equal texts
     have one ``text_id``, a 64-bit hash. Links: ``a`` < ``b`` (text ids) and ``jaccard`` of the sets of
     4-character substrings, at least ``threshold``, one row per pair of different texts. ``recall`` is the
-    least expected share of links found, at the threshold itself; closer pairs are found more surely.
+    least expected share of links found, at the threshold itself, by lists and sketches together; closer pairs
+    are found more surely.
     Null and shorter texts and null keys are left out; repeated rows count once. Nothing is capped.
     """
     rows, bands = banding(df.count(), threshold, recall)
@@ -217,7 +228,7 @@ def similar_texts(
     members = plain.select(F.col("id").alias(key), F.col("t").alias("text_id")).distinct()
     lists = plain.select("t", "x").mapInArrow(_listed(rows, bands, seed), "k long, t long, s long, u long")
     pairs = (
-        lists.repartition("k").sortWithinPartitions("k").mapInArrow(_pairs(threshold), "a long, b long").distinct()
+        lists.repartition("k").sortWithinPartitions("k").mapInArrow(_pairs(threshold, sketch_bound(threshold, recall)[0]), "a long, b long").distinct()
     )
     pairs = materialise(pairs, "candidates")
     texts = plain.select("t", "x").groupBy("t").agg(F.first("x").alias("x"))

@@ -201,3 +201,13 @@ def test_p7_found_has_every_copy(spark, tmp_path):
     rows = [(f"c{i:03d}", text) for i in range(103)] + [("d", text + "but once.")]
     spark.createDataFrame(rows, "review_id string, text string").write.parquet(f"{tmp_path}/reviews.parquet")
     assert queries.p7_found(spark, str(tmp_path)).count() == 104 * 103 // 2
+
+
+@pytest.mark.parametrize("recall", [0.9, 0.99, 0.9999])
+def test_recall_counts_what_sketches_lose(recall):
+    least, lost = neardup.sketch_bound(0.7, recall)
+    agree = np.random.default_rng(3).binomial(neardup.BITS, 0.85, 2_000_000)
+    assert lost == pytest.approx((agree < least).mean(), abs=5e-4) and lost <= (1 - recall) / 10
+    for size in (5_000, 500_000, 50_000_000):
+        rows, bands = neardup.banding(size, 0.7, recall)
+        assert (1 - (1 - 0.7**rows) ** bands) * (1 - lost) >= recall
