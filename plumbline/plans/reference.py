@@ -234,7 +234,7 @@ def keywords_by_rating(spark, d):
 
 @query
 def emerging_keywords(spark, d):
-    dated = _docs(spark, d, "country").where("country IS NOT NULL AND day BETWEEN '2000-01-01' AND '2024-12-31'")
+    dated = _docs(spark, d, "country").where("country IS NOT NULL AND day IS NOT NULL")
     last = dated.groupBy("country").agg(F.max("day").alias("anchor"))
     return kw.emerging(dated.join(last, "country"), "country", F.col("anchor"))
 

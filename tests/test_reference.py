@@ -1,8 +1,11 @@
 """Every query with SQL against DuckDB, and scenarios with known results."""
 
+import collections
 import datetime as dt
 import glob
+import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -104,3 +107,44 @@ def test_a_shift_of_spread_ratings_counts_less_as_evidence(spark, ratings, step)
     got = {r["review_id"]: r["coordinated"] for r in scoring.review_evidence(rv, templated).collect()}
     dense = 0.5 + 0.5 * min(1.0, (len(ratings) - 1) / len(rows))
     assert got["r30-0"] == pytest.approx(0.35 * burst * (0.5 + 0.5 * moved * step) + 0.15 * dense, abs=0.002) and moved > 0.1
+
+
+def _weights_by_hand(docs):
+    """docs: lists of words. Per document {term: weight}: L2-normalised sublinear TF-IDF of 1- and 2-grams."""
+    counts = [collections.Counter([*d, *(f"{x} {y}" for x, y in zip(d, d[1:]))]) for d in docs]
+    df = collections.Counter(t for c in counts for t in c)
+    out = []
+    for c in counts:
+        x = {t: (1 + math.log(n)) * (math.log((1 + len(docs)) / (1 + df[t])) + 1) for t, n in c.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        out.append({t: v / norm for t, v in x.items()})
+    return out
+
+
+def test_emerging_keywords_equal_brute_force_in_any_year(spark, tmp_path):
+    rng, vocabulary, made = random.Random(4), "soup table waiter garden parking music dessert".split(), []
+    for country, anchor in (("A", dt.date(2031, 5, 20)), ("B", dt.date(2024, 6, 1)), ("C", dt.date(1999, 3, 1))):
+        made += [(country, anchor, age, rng.choices(vocabulary[: 5 if age > 30 else 7], k=6)) for age in [0, 30, 120, 121, *rng.sample(range(1, 150), 20)]]
+    columns = spark.read.parquet(f"{DATA}/reviews.parquet").schema
+    rows = []
+    for i, (country, anchor, age, ws) in enumerate(made):
+        known = {"review_id": f"r{i}", "place_id": "p", "reviewer_id": "u", "country": country, "text": " ".join(ws), "ingested_at": dt.datetime(2032, 1, 1)}
+        known["published_at"] = f"{anchor - dt.timedelta(days=age)}T00:00:00.000000"
+        rows.append(tuple(known.get(c) for c in columns.names))
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/reviews.parquet")
+    got = {}
+    for r in entry.queries()["emerging_keywords"](spark, str(tmp_path)).collect():
+        got.setdefault(r["country"], {})[r["term"]] = (r["ratio"], r["recent"])
+    assert set(got) == {"A", "B", "C"}
+    for country, found in got.items():
+        ref = [w for c, _, age, w in made if c == country and 30 <= age <= 120]
+        new = [w for c, _, age, w in made if c == country and 0 <= age <= 30]
+        by_hand = _weights_by_hand(ref + new)
+        mean = lambda xs, t: sum(x.get(t, 0.0) for x in xs) / len(xs)
+        both = {t: (mean(by_hand[len(ref) :], t), mean(by_hand[: len(ref)], t)) for x in by_hand for t in x}
+        grown = {t: (a, b) for t, (a, b) in both.items() if (a + 1e-9) / (b + 1e-9) > 1}
+        order = sorted(grown, key=lambda t: (grown[t][1] > 0, -grown[t][0] / (grown[t][1] or grown[t][0]), -round(grown[t][0], 6), t))
+        assert set(found) == set(order[:10])
+        for t, (ratio, recent) in found.items():
+            a, b = grown[t]
+            assert recent == pytest.approx(a, abs=1e-6) and (ratio is None) == (b == 0) and (b == 0 or ratio == pytest.approx((a + 1e-9) / (b + 1e-9), abs=1e-3))
