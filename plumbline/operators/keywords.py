@@ -12,10 +12,14 @@ from plumbline.functions.text import WORD
 from plumbline.operators.texts import ngrams
 
 
+def all_words(text: Column) -> Column:
+    """Lower-case words of two characters or more, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))
+
+
 def words(text: Column) -> Column:
-    """Lower-case words of two characters or more without stop words, in order."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))
-    return F.filter(found, lambda w: ~w.isin(lexicon.STOP))
+    """``all_words`` without stop words."""
+    return F.filter(all_words(text), lambda w: ~w.isin(lexicon.STOP))
 
 
 def term_weights(docs: DataFrame, group: str, features: int = 5000) -> tuple[DataFrame, DataFrame]:
@@ -38,12 +42,27 @@ def term_weights(docs: DataFrame, group: str, features: int = 5000) -> tuple[Dat
 
 
 def keywords(docs: DataFrame, group: str, top: int = 15) -> DataFrame:
-    """(group, term, score, rank): the terms with the largest mean weight; ties: the smaller term."""
+    """(group, term, score, rank): the terms with the largest mean weight; ties: the smaller term.
+
+    A group with one text that is not blank has the shares of that text's words instead, stop words included;
+    ties: the word that comes first.
+    """
     weights, sizes = term_weights(docs, group)
     mean = weights.groupBy(group, "term").agg(F.sum("w").alias("s")).join(sizes.where("docs >= 2"), group)
     scored = mean.select(group, "term", rnd(F.col("s") / F.col("docs"), 6).alias("score"))
     w = Window.partitionBy(group).orderBy(F.desc("score"), "term")
-    return scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    several = scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return several.unionByName(_single(docs, group, sizes, top))
+
+
+def _single(docs: DataFrame, group: str, sizes: DataFrame, top: int) -> DataFrame:
+    live = docs.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).join(sizes.where("docs = 1").select(group), group)
+    found = live.select(group, all_words(F.col("text")).alias("t"))
+    spots = found.select(group, F.size("t").alias("total"), F.posexplode("t").alias("at", "term"))
+    shares = spots.groupBy(group, "term", "total").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    w = Window.partitionBy(group).orderBy(F.desc("n"), "at")
+    ranked = shares.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return ranked.select(group, "term", rnd(F.col("n") / F.col("total"), 6).alias("score"), "rank")
 
 
 def emerging(docs: DataFrame, group: str, anchor: Column, reference_days: int = 90, recent_days: int = 30, top: int = 10) -> DataFrame:

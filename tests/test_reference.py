@@ -11,7 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from plumbline.operators import graph, sampling, scoring, temporal, texts, validation
+from plumbline.operators import graph, keywords, sampling, scoring, temporal, texts, validation
 
 DATA = "/root/testdata/sf0.001"
 CHEAP = (
@@ -148,3 +148,10 @@ def test_emerging_keywords_equal_brute_force_in_any_year(spark, tmp_path):
         for t, (ratio, recent) in found.items():
             a, b = grown[t]
             assert recent == pytest.approx(a, abs=1e-6) and (ratio is None) == (b == 0) and (b == 0 or ratio == pytest.approx((a + 1e-9) / (b + 1e-9), abs=1e-3))
+
+
+def test_a_group_of_one_text_has_its_word_shares(spark):
+    rows = [("one", "a", "The soup and the bread, the SOUP!"), ("one", "b", "  "), ("one", "c", None), ("two", "d", "fine soup"), ("two", "e", "cold bread"), ("none", "f", ""), ("mark", "g", "!!")]
+    got = keywords.keywords(spark.createDataFrame(rows, "g string, doc string, text string"), "g", 3).collect()
+    assert [(r["term"], r["score"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"]) if r["g"] == "one"] == [("the", 0.428571, 1), ("soup", 0.285714, 2), ("and", 0.142857, 3)]
+    assert {r["g"] for r in got} == {"one", "two"} and sum(r["g"] == "two" for r in got) == 3
