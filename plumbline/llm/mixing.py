@@ -1,11 +1,11 @@
 """Mixing sources to target weights.
 
-A source's target tokens divided by its tokens give the expected number of copies of each of its
-documents, at most its cap. The whole part is certain; the fraction is rounded by pivotal sampling: two
-fractional documents exchange token mass at random, one way or the other with the odds that keep both
-expectations, until one of them is whole. Each task reduces its documents to at most one fractional
-one; these residuals are combined in a tree, so the tokens of a source miss their expectation by less
-than one document.
+The total is the largest at which every source can hold its share within its cap. A source's share of it
+divided by the source's tokens gives the expected number of copies of each of its documents. The whole part
+is certain; the fraction is rounded by pivotal sampling: a document and its partner exchange token mass at
+random, one way or the other with the odds that keep both expectations, until the document is whole. Each task
+reduces its documents to at most one fractional one, a small one; these residuals are combined in a tree, so
+the tokens of a source miss their expectation by less than one document.
 """
 
 from __future__ import annotations
@@ -23,30 +23,40 @@ _EPS = 1e-9
 
 
 def pivotal(share: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rounds ``share`` (within 0..1) pair by pair, keeping sum(share * weight), to one fraction at most.
+    """Rounds ``share`` (within 0..1), keeping sum(share * weight), to one fraction at most.
 
-    Large documents come first: each is settled against smaller ones, so what stays fractional is small.
+    The largest document comes first; its partner is the rest, all smaller ones together: mass moves between the
+    two until the document is integral, spread over the rest in proportion to what each can give or take. So the
+    large ones are settled while others can still make up for them, and what stays fractional at the end is small.
+    A document for which the rest could make up only one way, larger than what the source may give for example,
+    goes that way.
     """
-    p = share.astype(float).copy()
-    order = [i for i in np.argsort(-weight, kind="stable").tolist() if _EPS < p[i] < 1 - _EPS]
+    p = np.where(share < _EPS, 0.0, np.where(share > 1 - _EPS, 1.0, share))
+    order = np.argsort(-weight, kind="stable")
+    order = order[(p[order] > 0) & (p[order] < 1)]
+    w, q = weight[order].astype(float), p[order]
+    after_w = np.append(np.cumsum(w[::-1])[::-1], 0.0)[1:].tolist()  # of all later documents
+    after_m = np.append(np.cumsum((w * q)[::-1])[::-1], 0.0)[1:].tolist()
     luck = rng.random(len(order)).tolist()
-    held = -1
-    for step, j in enumerate(order):
-        if held < 0:
-            held = j
-            continue
-        i, wi, wj = held, weight[held], weight[j]
-        up = min(wi * (1 - p[i]), wj * p[j])
-        down = min(wi * p[i], wj * (1 - p[j]))
-        mass = up if luck[step] * (up + down) < down else -down
-        p[i] += mass / wi
-        p[j] -= mass / wj
-        held = -1
-        for x in (i, j):
-            if p[x] < _EPS or p[x] > 1 - _EPS:
-                p[x] = round(p[x])
-            else:
-                held = x
+    out = np.empty(len(order))
+    scale, shift = 1.0, 0.0  # what became of the fractions of the rest: scale * share + shift
+    for i, (wi, qi) in enumerate(zip(w.tolist(), q.tolist(), strict=True)):
+        now = min(1.0, max(0.0, scale * qi + shift))
+        held = max(0.0, scale * after_m[i] + shift * after_w[i])
+        room = max(0.0, after_w[i] - held)
+        up, down = min(wi * (1 - now), held), min(wi * now, room)
+        whole_up, whole_down = up == wi * (1 - now), down == wi * now
+        rise = luck[i] * (up + down) < down if whole_up == whole_down else whole_up
+        if rise and up > 0:
+            now += up / wi
+            keep = 1 - up / held
+            scale, shift = scale * keep, shift * keep
+        elif not rise and down > 0:
+            now -= down / wi
+            keep = 1 - down / room
+            scale, shift = scale * keep, shift * keep + 1 - keep
+        out[i] = round(now) if now < _EPS or now > 1 - _EPS else now
+    p[order] = out
     return p
 
 
@@ -69,18 +79,31 @@ def _rounder(seed: int, last: bool):
     return run
 
 
-def mix(documents: DataFrame, targets: DataFrame, key: str, size: str, source: str = "source", seed: int = 7, rows_per_task: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def shared_total(held: dict[str, int], share: dict[str, float], repeats: dict[str, int]) -> float:
+    """The largest total, at most the tokens of all sources, of which each source that has any can give its share."""
+    there = [s for s in share if held.get(s, 0) > 0 and share[s] > 0]
+    listed = sum(share[s] for s in there) / (sum(share.values()) or 1.0)
+    return min([float(sum(held.values())), *(held[s] * repeats[s] * listed / share[s] for s in there)]) if there else 0.0
+
+
+def mix(
+    documents: DataFrame, targets: DataFrame, key: str, size: str, source: str = "source", seed: int = 7, rows_per_task: int = 50_000, hold: str = "shares"
+) -> tuple[DataFrame, DataFrame]:
     """(selection, report).
 
-    ``targets``: (source, target_share, max_repeats); a source listed twice is an error. The total is
-    the tokens of all documents of listed sources, compared trimmed and in lower case. Selection: one row
-    per document of a listed source with ``copies`` (0..max_repeats); documents of size 0 or null get 0
-    copies, those of other sources and of a null source are left out. Report: one row per target with
-    ``tokens``, ``target_tokens``, ``expected_copies``, ``capped`` (even all repeats do not reach the
-    target), ``actual_tokens`` and ``actual_share``; a target without documents has 0 tokens.
-    Documents are grouped by source and hash into groups of at most about ``rows_per_task``, so a source
-    that holds most rows is spread.
+    ``targets``: (source, target_share, max_repeats); a source listed twice is an error. All tokens are those of
+    all documents of listed sources, compared trimmed and in lower case; a source is ``capped`` whose repeats do
+    not reach its share of them. ``hold``: "shares" takes the largest total at which every source holds its
+    share, those without tokens left aside; "tokens" takes all tokens as the total, so capped sources fall
+    short and others have more than their share. Selection: one row per document of a listed source with
+    ``copies`` (0..max_repeats); documents of size 0 or null get 0 copies, those of other sources and of a
+    null source are left out. Report: one row per target with ``tokens``, ``target_tokens`` (of the total
+    taken), ``expected_copies``, ``capped``, ``actual_tokens`` and ``actual_share``; a target without
+    documents has 0 tokens. Documents are grouped by source and hash into groups of at most about
+    ``rows_per_task``, so a source that holds most rows is spread.
     """
+    if hold not in ("shares", "tokens"):
+        raise ValueError(hold)
     want = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int"))
     rows = want.collect()  # the configuration
     if len({r["source"] for r in rows}) < len(rows):
@@ -90,13 +113,19 @@ def mix(documents: DataFrame, targets: DataFrame, key: str, size: str, source: s
         .where(F.col("source").isin([r["source"] for r in rows]))
     )
     listed = materialise(listed, "mix")
-    salts = max(1, -(-listed.count() // rows_per_task))
-    held = {r["source"]: r["t"] for r in listed.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    total = sum(held.values())
+    sums = listed.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    salts = max(1, -(-sum(r["n"] for r in sums) // rows_per_task))
+    held = {r["source"]: r["t"] for r in sums}
+    all_tokens = float(sum(held.values()))
+    total = all_tokens if hold == "tokens" else shared_total(held, {r["source"]: r["target_share"] for r in rows}, {r["source"]: r["max_repeats"] for r in rows})
+    spread = 1.0
+    if hold == "shares":  # the shares of sources without tokens go to the others in proportion
+        spread = sum(r["target_share"] for r in rows) / (sum(r["target_share"] for r in rows if held.get(r["source"], 0)) or 1.0)
     plan = []
     for r in rows:
-        own, aim = held.get(r["source"], 0), r["target_share"] * total
-        plan.append((r["source"], own, aim, min(float(r["max_repeats"]), aim / own) if own else 0.0, own * r["max_repeats"] < aim, r["target_share"], r["max_repeats"]))
+        own, aim = held.get(r["source"], 0), r["target_share"] * total * spread
+        capped = own * r["max_repeats"] < r["target_share"] * all_tokens
+        plan.append((r["source"], own, aim, min(float(r["max_repeats"]), aim / own) if own else 0.0, capped, r["target_share"], r["max_repeats"]))
     spark = documents.sparkSession
     rates = spark.createDataFrame(plan, "source string, tokens long, target_tokens double, expected_copies double, capped boolean, target_share double, max_repeats int")
     rate = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in plan for x in (p[0], p[3])]), F.col("source")), F.lit(0.0)) if plan else F.lit(0.0)

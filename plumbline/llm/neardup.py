@@ -1,7 +1,8 @@
 """Near-duplicate texts with small edits: all pairs whose character 4-gram sets are similar enough.
 
 Texts are listed under band keys, each made of several minimum hashes, so texts above the threshold share a
-list almost surely. Inside of a list the entries stand in order of set size: for each entry only the block
+list almost surely. A list that very many texts share is cut into parts, and each two parts meet in a list of
+their own, so no task holds it whole. Inside of a list the entries stand in order of set size: for each entry only the block
 of sizes that can still reach the threshold is visited, the rest is skipped by position, and of that block
 only entries whose bit sketches agree. What remains is verified on the whole texts. Copies of a text are one
 set: their answers are derived from the answers of that set.
@@ -19,12 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import squeeze
-from plumbline.session import materialise
+from plumbline.llm.components import connected_groups, relabelled
+from plumbline.session import drop_materialised, materialise
 
 GRAM = 4
 BITS = 112  # of a sketch: 64 in one word, the others above the set size in the second
-#: Copies of one text beyond this number are linked through their smallest id by ``expand_pairs``.
-COPIES = 100
+#: Texts of one list beyond which it is cut into parts; every pair of parts is then a list of its own.
+SPLIT = 20_000
+#: One key in so many is looked at to find the lists to cut.
+SAMPLED = 64
 #: Mean number of copies in a block of ``all_pairs``.
 BLOCK = 500
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -81,7 +85,25 @@ def words(bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return as_word(bits[:, :64]), (as_word(bits[:, 64:]) << np.uint64(16)) | np.minimum(size, 0xFFFF).astype(np.uint64)
 
 
-def _listed(rows: int, bands: int, seed: int):
+def cut_lists(keys: np.ndarray, text_id: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, side) of entries whose lists are not cut (side 2), and of those of cut lists once for each list of
+    two parts: only sides 0 and 1 are compared there, and the list of one part (side 2) as any other."""
+    at = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
+    cut = hot[at] == keys if len(hot) else np.zeros(len(keys), bool)
+    rows, out, side = [np.flatnonzero(~cut)], [keys[~cut]], [np.full((~cut).sum(), 2, np.int8)]
+    own = np.flatnonzero(cut)
+    n = parts[at[own]] if len(own) else np.zeros(0, np.int64)
+    p = (_mix(text_id[own].view(np.uint64) * _M[2], 32) % np.maximum(n, 1).astype(np.uint64)).astype(np.int64)
+    for other in range(int(n.max(initial=0))):
+        use = other < n
+        low, high = np.minimum(p[use], other), np.maximum(p[use], other)
+        rows.append(own[use])
+        out.append(_mix((keys[own[use]] ^ (low * 65_536 + high + 1).astype(np.uint64)) * _M[0], 31))
+        side.append(np.where(p[use] == other, 2, (p[use] > other).astype(np.int64)).astype(np.int8))
+    return np.concatenate(rows), np.concatenate(out), np.concatenate(side)
+
+
+def _listed(rows: int, bands: int, seed: int, hot: np.ndarray, parts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # texts of this task
         for batch in batches:
@@ -97,11 +119,27 @@ def _listed(rows: int, bands: int, seed: int):
                 low, high = words(bits, np.bincount(owner, minlength=len(part)))
                 text_id = np.array([ids[i] for i in fresh[lo : lo + 2000]], np.int64)
                 each = [np.repeat(x, bands) for x in (text_id, low.view(np.int64), high.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel().view(np.int64), *each)], names=["k", "t", "s", "u"])
+                row, key, side = cut_lists(keys.ravel(), each[0], hot, parts)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(x[row]) for x in each), pa.array(side)], names=["k", "t", "s", "u", "g"])
 
     return run
 
 
+_LISTED = "k long, t long, s long, u long, g byte"
+
+
+def crowded_lists(plain: DataFrame, rows: int, bands: int, seed: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, parts) of the lists that seem longer than ``SPLIT``, judged from one key in ``SAMPLED``.
+
+    It only decides how the work is dealt: pairs are the same whatever is cut. At most ``most`` lists are cut.
+    """
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    some = plain.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("t", "x")
+    counts = some.mapInArrow(_listed(rows, bands, seed, *none), _LISTED).groupBy("k").agg(F.count_distinct("t").alias("n")).where(F.col("n") * SAMPLED * 2 > SPLIT)
+    found = sorted((r["k"] % 2**64, -(-r["n"] * SAMPLED // SPLIT)) for r in counts.orderBy(F.desc("n")).limit(most).collect())
+    return np.array([k for k, _ in found], np.uint64), np.array([max(2, n) for _, n in found], np.int64)
+
+
 def sketch_bound(threshold: float, recall: float) -> tuple[int, float]:
     """(bits that sketches must agree in to be compared, expected share of pairs exactly at the threshold lost by that).
 
@@ -119,13 +157,13 @@ def _agreeing(low: np.ndarray, high: np.ndarray, i: np.ndarray, j: np.ndarray, l
     return BITS - differ >= least
 
 
-def candidate_pairs(k: np.ndarray, t: np.ndarray, s: np.ndarray, u: np.ndarray, threshold: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different texts in a common list, visiting only the block of possible sizes."""
+def candidate_pairs(k: np.ndarray, t: np.ndarray, s: np.ndarray, u: np.ndarray, g: np.ndarray, threshold: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different texts in a common list, not of one side (0 or 1), visiting only the block of possible sizes."""
     size = (u & np.uint64(0xFFFF)).astype(np.int64)
     order = np.lexsort((t, size, k))
-    k, t, s, u, size = k[order], t[order], s[order], u[order], size[order]
+    k, t, s, u, g, size = k[order], t[order], s[order], u[order], g[order], size[order]
     new = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])]
-    k, t, s, u, size = k[new], t[new], s[new], u[new], size[new]
+    k, t, s, u, g, size = k[new], t[new], s[new], u[new], g[new], size[new]
     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     which = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(k)]))
     # where each entry's block ends: the last position of its list whose size is within reach
@@ -141,7 +179,7 @@ def candidate_pairs(k: np.ndarray, t: np.ndarray, s: np.ndarray, u: np.ndarray,
         i = np.repeat(todo[lo:hi], count[lo:hi])
         base = np.cumsum(count[lo:hi]) - count[lo:hi]
         j = i + 1 + np.arange(len(i)) - np.repeat(base, count[lo:hi])
-        keep = _agreeing(s, u, i, j, least)
+        keep = _agreeing(s, u, i, j, least) & ((g[i] == 2) | (g[i] != g[j]))
         yield t[i[keep]], t[j[keep]]
         lo = hi
 
@@ -151,8 +189,8 @@ def _pairs(threshold: float, least: int):
         """Input in order of k; whole lists are handed on as they fill a piece."""
         held: list[tuple[np.ndarray, ...]] = []
 
-        def work(k, t, s, u):
-            for a, b in candidate_pairs(k, t, s.view(np.uint64), u.view(np.uint64), threshold, least):
+        def work(k, t, s, u, g):
+            for a, b in candidate_pairs(k, t, s.view(np.uint64), u.view(np.uint64), g, threshold, least):
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
@@ -160,13 +198,12 @@ def _pairs(threshold: float, least: int):
         for batch in batches:
             held.append(tuple(c.to_numpy() for c in batch.columns))
             rows += batch.num_rows
-            if rows > 400_000:
+            if rows > 400_000 and held[0][0][0] != held[-1][0][-1]:
                 columns = [np.concatenate(x) for x in zip(*held, strict=True)]
                 cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))
                 held = [tuple(c[cut:] for c in columns)]
                 rows = len(columns[0]) - cut
-                if cut:
-                    yield from work(*(c[:cut] for c in columns))
+                yield from work(*(c[:cut] for c in columns))
         if held:
             yield from work(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -212,7 +249,7 @@ def similar_texts(
     """(members, links) of texts that are compared in lower case, with white space runs as one blank.
 
     Members: one row (key, ``text_id``) per key and text of at least ``min_chars`` characters; equal texts
-    have one ``text_id``, a 64-bit hash. Links: ``a`` < ``b`` (text ids) and ``jaccard`` of the sets of
+    have one ``text_id``, a 64-bit hash (two different texts of 10^9 share one with odds of 1 in 37). Links: ``a`` < ``b`` (text ids) and ``jaccard`` of the sets of
     4-character substrings, at least ``threshold``, one row per pair of different texts. ``recall`` is the
     least expected share of links found, at the threshold itself, by lists and sketches together; closer pairs
     are found more surely.
@@ -226,7 +263,7 @@ def similar_texts(
         .select("id", F.xxhash64("x").alias("t"), "x")
     )
     members = plain.select(F.col("id").alias(key), F.col("t").alias("text_id")).distinct()
-    lists = plain.select("t", "x").mapInArrow(_listed(rows, bands, seed), "k long, t long, s long, u long")
+    lists = plain.select("t", "x").mapInArrow(_listed(rows, bands, seed, *crowded_lists(plain, rows, bands, seed)), _LISTED)
     pairs = (
         lists.repartition("k").sortWithinPartitions("k").mapInArrow(_pairs(threshold, sketch_bound(threshold, recall)[0]), "a long, b long").distinct()
     )
@@ -238,21 +275,21 @@ def similar_texts(
     return members, links
 
 
-def expand_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
+def expand_pairs(members: DataFrame, links: DataFrame, key: str, copies: int = 100) -> DataFrame:
     """(<key>_a, <key>_b), a < b: linked keys, copies included.
 
-    Texts with at most ``COPIES`` copies are expanded in full. Of a text with more, its smallest key
+    Texts with at most ``copies`` copies are expanded in full. Of a text with more, its smallest key
     stands for it in the links, and every copy is paired with that key.
     """
     order = Window.partitionBy("text_id").orderBy(key)
-    ranked = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= COPIES + 1)
+    ranked = members.withColumn("r", F.row_number().over(order)).where(F.col("r") <= copies + 1)
     heads = ranked.groupBy("text_id").agg(F.sort_array(F.collect_list(key)).alias("ids"))
-    heads = heads.select("text_id", F.when(F.size("ids") > COPIES, F.slice("ids", 1, 1)).otherwise(F.col("ids")).alias("ids"), (F.size("ids") > COPIES).alias("many"))
+    heads = heads.select("text_id", F.when(F.size("ids") > copies, F.slice("ids", 1, 1)).otherwise(F.col("ids")).alias("ids"), (F.size("ids") > copies).alias("many"))
     left = heads.select(F.col("text_id").alias("a"), F.col("ids").alias("ia"))
     right = heads.select(F.col("text_id").alias("b"), F.col("ids").alias("ib"))
     across = links.join(left, "a").join(right, "b").select(F.explode("ia").alias("x"), "ib").select("x", F.explode("ib").alias("y"))
     several = heads.where("NOT many AND size(ids) > 1").select(F.posexplode("ids").alias("p", "x"), "ids")
-    within = several.select("x", F.explode(F.slice("ids", F.col("p") + 2, F.lit(COPIES))).alias("y"))
+    within = several.select("x", F.explode(F.slice("ids", F.col("p") + 2, F.lit(copies))).alias("y"))
     star = members.join(heads.where("many").select("text_id", F.col("ids")[0].alias("x")), "text_id").where(F.col(key) != F.col("x"))
     all_ = across.unionByName(within).unionByName(star.select("x", F.col(key).alias("y")))
     return all_.where("x != y").select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()
@@ -285,3 +322,11 @@ def all_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     within = several.select("x", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("y"))
     both = across.unionByName(within).where("x != y")
     return both.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()
+
+
+def group_members(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(key, ``group_id``) for every member: texts linked directly or through others are a group, named by its smallest key."""
+    groups = connected_groups(links, "a", "b", out="text_id").withColumn("text_id", F.col("text_id").cast("long"))
+    own = materialise(members.join(groups, "text_id", "left").select(F.col(key).alias("v"), F.coalesce("group_id", F.col("text_id").cast("string")).alias("m")), "members")
+    least = own.groupBy("m").agg(F.min("v").alias("top"))
+    return relabelled(own, least).groupBy(F.col("v").alias(key)).agg(F.min("top").alias("group_id"))

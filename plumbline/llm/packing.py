@@ -3,7 +3,7 @@
 Sizes are whole numbers up to the capacity, so the instance is a histogram of at most ``capacity``
 entries, whatever the number of items. On it, dominance fixes sets that belong together in some best
 solution: an item and one that fills its gap exactly; an item that nothing fits beside; an item beside
-which at most one other fits, with the largest that does. The rest is packed best-fit by decreasing
+which at most one other fits, with the largest that does. The rest is packed best-fit, by decreasing
 size. Each decision is a pattern with a number of copies; items find their container by their rank
 within their size.
 """
@@ -58,23 +58,30 @@ def dominance(counts: np.ndarray, capacity: int) -> list[Pattern]:
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
-    """Packs what is left, container by container: always the largest item that still fits."""
-    patterns: list[Pattern] = []
-    while counts.any():
-        room, uses = capacity, []
-        size = int(np.flatnonzero(counts)[-1])
-        while size > 0:
-            u = min(int(counts[size]), room // size)
-            if u:
-                uses.append((size, u))
-                room -= u * size
-            below = np.flatnonzero(counts[: min(size, room + 1)])
-            size = int(below[-1]) if len(below) else 0
-        copies = min(int(counts[s]) // u for s, u in uses)
-        for s, u in uses:
-            counts[s] -= u * copies
-        patterns.append((uses, copies))
-    return patterns
+    """Packs what is left, largest items first, each into the open container with the least room that holds it.
+
+    Containers that are filled alike are one entry, so the work grows with the number of sizes, not of items.
+    """
+    open_: dict[int, list[Pattern]] = {}  # by room
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[size])
+        while n:
+            room = min((g for g in open_ if g >= size), default=capacity)
+            # a container takes such items until none fits, for it has the least room all the while
+            each = room // size
+            uses, copies = open_[room].pop() if room in open_ else ([], -(-n // each))
+            if room in open_ and not open_[room]:
+                del open_[room]
+            if n < each:
+                each, full = n, 1
+            else:
+                full = min(copies, n // each)
+            if copies > full and uses:
+                open_.setdefault(room, []).append((uses, copies - full))
+            open_.setdefault(room - each * size, []).append(([*uses, (size, each)], full))
+            n -= each * full
+        counts[size] = 0
+    return [pattern for room in sorted(open_) for pattern in open_[room]]
 
 
 def pack_sizes(histogram: dict[int, int], capacity: int) -> list[Pattern]:
@@ -85,14 +92,14 @@ def pack_sizes(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     return dominance(counts, capacity) + best_fit(counts, capacity)
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int, salts: int = 64) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int, rows_per_task: int = 1_000_000) -> DataFrame:
     """One row per piece: (key, ``piece_no``, ``piece_size``, ``container_id``).
 
     An item larger than ``capacity`` becomes full pieces and a rest; no other item is split. Items of
     size 0, null or below take no room and go to container 0. Containers are numbered from 0 without
     gaps. Repeated keys are separate items. Only a histogram of sizes reaches the driver, at most
     ``capacity`` numbers; ranks are counted within (size, salt), so a size that a third of all items
-    share is spread over ``salts`` groups.
+    share is spread over groups of about ``rows_per_task``.
     """
     n = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
     whole = F.floor(n / capacity).cast("int")
@@ -102,11 +109,11 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, salts: int = 64)
     )
     pieces = materialise(
         items.select(F.col(key), F.posexplode(sizes).alias("p", "piece_size"))
-        .withColumn("piece_no", F.col("p") + 1)
-        .withColumn("salt", F.pmod(F.xxhash64(key, "p"), F.lit(salts)))
-        .drop("p"),
+        .select(key, (F.col("p") + 1).alias("piece_no"), "piece_size"),
         "pieces",
     )
+    salts = max(1, -(-pieces.count() // rows_per_task))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64(key, "piece_no"), F.lit(salts)))
     cells = pieces.where("piece_size > 0").groupBy("piece_size", "salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["piece_size"]: r["n"] for r in cells.groupBy("piece_size").agg(F.sum("n").alias("n")).collect()}
     runs: dict[int, list[tuple[int, int, int]]] = {}
@@ -144,3 +151,20 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, salts: int = 64)
     )
     kind = items.schema[key].dataType.simpleString()
     return ranked.mapInArrow(place, f"`{key}` {kind}, piece_no int, piece_size int, container_id long")
+
+
+def summary(pieces: DataFrame, key: str, capacity: int) -> DataFrame:
+    """One row: items, pieces and tokens packed, containers beyond ``capacity``, numbers that no container has, pieces
+    in excess of the fewest, and whether there are at most 2 % (and one) more containers than the tokens fill."""
+    held = pieces.where("piece_size > 0")
+    fill = held.groupBy("container_id").agg(F.sum("piece_size").alias("full"))
+    per = held.groupBy(key).agg(F.sum("piece_size").alias("n"), F.count(F.lit(1)).alias("k"))
+    boxes = fill.agg(F.count(F.lit(1)).alias("boxes"), F.max("container_id").alias("last"), F.count_if(F.col("full") > capacity).alias("overfull"))
+    items = per.agg(
+        F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("k"), F.lit(0)).alias("pieces"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum(F.col("k") - F.ceil(F.col("n") / capacity)), F.lit(0)).alias("needless_cuts"),
+    )
+    return items.crossJoin(boxes).select(  # one row by one row
+        "items", "pieces", "tokens", "overfull", (F.coalesce(F.col("last") + 1, F.lit(0)) - F.col("boxes")).alias("missing_numbers"), "needless_cuts",
+        (F.col("boxes") <= F.ceil(F.col("tokens") / capacity) * 1.02 + 1).alias("tight"),
+    )

@@ -5,7 +5,9 @@ square is chi-square distributed. kd-trees over independent rotations of the pro
 a bounded sample, and further inside of a task) bring near vectors into common leaves. Inside of a leaf the
 neighbours of a vector come in order of projected distance and are accepted for verification until the
 chi-square test says that no vector as near as asked can be that far away in the projection. Verified
-means: the cosine of the full vectors.
+means: the cosine of the full vectors. A vector with few such neighbours has them verified pair by pair; where
+many stand close together, their full vectors are brought to the leaf once and verified there, so only the
+nearest leave it.
 
 Exact copies are one vector to the search and come back in the result, by their smallest ids.
 """
@@ -25,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.session import materialise
+from plumbline.session import drop_materialised, materialise
 
 PROJECTED = 48
 LEAF = 8192
 SAMPLE = 20_000
 MISS = 0.02  # of the stopping test, on either side
+PAIRS = 96  # accepted neighbours of a vector in a leaf beyond which it is verified in the leaf
 _STEP = 1 / 28  # of the stored projections
 
 
@@ -134,8 +137,8 @@ def leaf_of(points: np.ndarray, cuts: np.ndarray, depth: int) -> np.ndarray:
     return node
 
 
-def _leaf_pairs(points: np.ndarray, k: int, reach: float, spread: float, level: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions that pass the stopping test, leaf by leaf."""
+def _leaf_pairs(points: np.ndarray, k: int, reach: float, spread: float, level: int = 0) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Leaf by leaf: its positions and, block by block, the pairs (of positions in the leaf) that pass the stopping test, in order of the first."""
     if len(points) > LEAF and level < PROJECTED:
         axis = PROJECTED - 1 - level  # coordinates that the upper tree uses last
         right = points[:, axis] > np.median(points[:, axis])
@@ -144,18 +147,22 @@ def _leaf_pairs(points: np.ndarray, k: int, reach: float, spread: float, level:
             return
         for side in (~right, right):
             at = np.flatnonzero(side)
-            for i, j in _leaf_pairs(points[at], k, reach, spread, level + 1):
-                yield at[i], at[j]
+            for own, blocks in _leaf_pairs(points[at], k, reach, spread, level + 1):
+                yield at[own], blocks
         return
     norm = (points**2).sum(axis=1)
+    # one product gives p.q - |q|^2 / 2, so a distance is compared without a further pass over the block
+    wide = np.concatenate([points, -norm[:, None] / 2], axis=1)
+    blocks = []
     for lo in range(0, len(points), 1024):
-        part = points[lo : lo + 1024]
-        d = norm[lo : lo + 1024, None] + norm[None] - 2 * (part @ points.T)
-        d[np.arange(len(part)), np.arange(lo, lo + len(part))] = np.inf
-        i, j = np.nonzero(d <= reach)
-        if not len(i):
+        part = np.concatenate([points[lo : lo + 1024], np.ones((len(points[lo : lo + 1024]), 1), np.float32)], axis=1)
+        m = part @ wide.T
+        m[np.arange(len(part)), np.arange(lo, lo + len(part))] = -np.inf
+        flat = np.flatnonzero(m >= (norm[lo : lo + 1024, None] - reach) / 2)
+        if not len(flat):
             continue
-        dist = d[i, j]
+        i, j = flat // len(points), flat % len(points)
+        dist = norm[lo + i] - 2 * m.ravel()[flat]
         order = np.lexsort((dist, i))
         i, j, dist = i[order], j[order], dist[order]
         first = np.r_[0, np.flatnonzero(i[1:] != i[:-1]) + 1]
@@ -164,22 +171,69 @@ def _leaf_pairs(points: np.ndarray, k: int, reach: float, spread: float, level:
         kth = rank == k - 1
         stop[i[kth]] = dist[kth] * spread
         keep = dist <= stop[i]
-        yield i[keep] + lo, j[keep]
+        blocks.append((i[keep] + lo, j[keep]))
+    yield np.arange(len(points)), blocks
 
 
 def _search(k: int, reach: float, spread: float):
+    """Rows (cell, leaf, a, b, ask): a pair to verify; or, without b, a vector that its leaf needs and whether it asks there."""
+
+    def run(t: pa.Table) -> pa.Table:
+        names = np.array(t.column("class").combine_chunks().to_pylist(), dtype=object)
+        cell = t.column("cell")[0].as_py() if t.num_rows else 0
+        out: list[pa.RecordBatch] = []
+
+        def put(leaf: int, a: np.ndarray, b: np.ndarray | None, ask: np.ndarray | None) -> None:
+            n = len(a)
+            out.append(pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, cell, np.int64)), pa.array(np.full(n, leaf, np.int32)), pa.array(names[a], pa.binary()),
+                 pa.nulls(n, pa.binary()) if b is None else pa.array(names[b], pa.binary()), pa.nulls(n, pa.bool_()) if ask is None else pa.array(ask)],
+                schema=_FOUND,
+            ))
+
+        for leaf, (own, blocks) in enumerate(_leaf_pairs(_points(t.column("rotated")), k, reach, spread)):
+            pairs, asks, needed = [], np.zeros(len(own), bool), np.zeros(len(own), bool)
+            for i, j in blocks:
+                many = np.bincount(i, minlength=len(own)) > PAIRS
+                asks |= many
+                dense = many[i]
+                needed[j[dense]] = True
+                i, j = i[~dense], j[~dense]
+                pairs.append(np.minimum(i, j) * len(own) + np.maximum(i, j))
+            both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+            a, b = own[both // len(own)], own[both % len(own)]
+            swap = np.array([p > q for p, q in zip(names[a], names[b], strict=True)], bool)
+            put(leaf, np.where(swap, b, a), np.where(swap, a, b), None)
+            members = np.flatnonzero(asks | needed)
+            put(leaf, own[members], None, asks[members])
+        return pa.Table.from_batches(out, _FOUND)
+
+    return run
+
+
+_FOUND = pa.schema([("cell", pa.int64()), ("leaf", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("ask", pa.bool_())])
+
+
+def _nearest_in_leaf(k: int, min_cosine: float):
+    """The ``k`` nearest of each asking vector among the vectors of its leaf, those as near as the last one included."""
+
     def run(t: pa.Table) -> pa.Table:
-        ids = t.column("class").combine_chunks()
-        found_a, found_b = [], []
-        for i, j in _leaf_pairs(_points(t.column("rotated")), k, reach, spread):
-            found_a.append(np.minimum(i, j) * len(ids) + np.maximum(i, j))
-        both = np.unique(np.concatenate(found_a)) if found_a else np.zeros(0, np.int64)
-        a, b = both // max(1, len(ids)), both % max(1, len(ids))
-        names = np.array(ids.to_pylist(), dtype=object)
-        x, y = names[a], names[b]
-        swap = np.array([p > q for p, q in zip(x, y, strict=True)], bool)
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        return pa.table({"a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary())})
+        names = t.column("class").combine_chunks().to_pylist()
+        x = np.stack([unpack_vector(c) for c in t.column("code").to_pylist()])
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        asking = np.flatnonzero(t.column("ask").to_numpy(zero_copy_only=False))
+        a, b, c = [], [], []
+        for lo in range(0, len(asking), 512):
+            rows = asking[lo : lo + 512]
+            cos = np.round(x[rows] @ x.T, 12)
+            cos[np.arange(len(rows)), rows] = -2
+            least = np.partition(cos, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k)]
+            i, j = np.nonzero(cos >= np.maximum(least, min_cosine)[:, None])
+            for p, q, s in zip(rows[i].tolist(), j.tolist(), cos[i, j].tolist(), strict=True):
+                u, v = sorted((names[p], names[q]))
+                a.append(u), b.append(v), c.append(s)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "cosine": pa.array(c, pa.float64())})
 
     return run
 
@@ -240,19 +294,22 @@ def similar_vectors(
 
     reach = 2 * (1 - min_cosine) * chi_square(1 - MISS, PROJECTED)
     test = chi_square(1 - MISS, PROJECTED) / chi_square(MISS, PROJECTED)
-    pairs = (
+    found = (
         points.select("class", "proj")
         .mapInArrow(spread_over_trees, "cell long, class binary, rotated binary")
         .groupBy("cell")
-        .applyInArrow(_search(k, reach, test), "a binary, b binary")
-        .distinct()
+        .applyInArrow(_search(k, reach, test), "cell long, leaf int, a binary, b binary, ask boolean")
     )
+    found = materialise(found, "found")
+    pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
     codes = base.select("id", "v").mapInArrow(_encode(dim), "class binary, code binary").groupBy("class").agg(F.first("code").alias("code"))
-    first = pairs.join(codes.select(F.col("class").alias("a"), F.col("code").alias("code_a")).hint("shuffle_hash"), "a")
-    both = first.join(codes.select(F.col("class").alias("b"), F.col("code").alias("code_b")).hint("shuffle_hash"), "b")
-    close = materialise(
-        both.select("a", "b", "code_a", "code_b").mapInArrow(_cosines, "a binary, b binary, cosine double").where(F.col("cosine") >= min_cosine), "cosines"
-    )
+    first = pairs.join(codes.select(F.col("class").alias("a"), F.col("code").alias("code_a")), "a")
+    both = first.join(codes.select(F.col("class").alias("b"), F.col("code").alias("code_b")), "b")
+    verified = both.select("a", "b", "code_a", "code_b").mapInArrow(_cosines, "a binary, b binary, cosine double").where(F.col("cosine") >= min_cosine)
+    crowded = found.where("b IS NULL").select("cell", "leaf", F.col("a").alias("class"), "ask").join(codes, "class")
+    nearest = crowded.groupBy("cell", "leaf").applyInArrow(_nearest_in_leaf(k, min_cosine), "a binary, b binary, cosine double")
+    close = materialise(verified.union(nearest).dropDuplicates(["a", "b"]), "cosines")
+    drop_materialised(found)
     heads = (
         one.select("class", "id")
         .withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("id")))
