@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import timestamps
 from plumbline.operators.reviews import current_reviews
 
 COLUMNS = (
@@ -19,8 +20,19 @@ def iso_day(published_at: Column) -> Column:
     return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), head.try_cast("date"))
 
 
-def review_view(reviews: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Current reviews with ``day``; ask only for the columns you need: the rest stays in the files."""
-    wanted = list(columns or COLUMNS)
-    need = list(dict.fromkeys(["rating", "source_url", *wanted, "published_at"]))
-    return current_reviews(reviews, need).withColumn("day", iso_day(F.col("published_at"))).select("review_id", *wanted, "day")
+def review_view(reviews: DataFrame, columns: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Current reviews; ask only for the columns you need: the rest stays in the files.
+
+    ``day`` is the UTC day of the instant that ``published_at`` names (see ``timestamps.with_instants``), and
+    ``published_at`` the instant's canonical form, as written where it names none. Both need the timestamps to be
+    read, so ask for them only where they are used.
+    """
+    wanted = list(columns or [*COLUMNS, "day"])
+    plain = [c for c in wanted if c != "day"]
+    dated = {"day", "published_at"} & set(wanted)
+    # the same columns decide between deliveries of one version, whatever is asked for
+    current = current_reviews(reviews, list(dict.fromkeys(["rating", "source_url", *plain, *(("published_at", "source") if dated else ())])))
+    if dated:
+        current = timestamps.with_instants(current, sources, zones=timestamps.written_zones(reviews))
+        current = current.withColumn("published_at", F.coalesce(timestamps.utc_text(F.col("instant_us")), F.col("published_at"))).withColumnRenamed("utc_day", "day")
+    return current.select("review_id", *wanted)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.num import rnd
 from plumbline.session import drop_materialised, materialise
 
 
@@ -35,7 +36,7 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
-def bipartite_core(rows: DataFrame, left: str, right: str, left_rows: int = 10, right_rows: int = 3, right_lefts: int = 2, rounds: int = 50) -> DataFrame:
+def bipartite_core(rows: DataFrame, left: str, right: str, left_rows: int = 10, right_rows: int = 3, right_lefts: int = 2, rounds: int = 1000) -> DataFrame:
     """The rows that remain when lefts with fewer than ``left_rows`` rows and rights with fewer than
     ``right_rows`` rows or ``right_lefts`` different lefts are removed again and again."""
     now = materialise(rows.where(F.col(left).isNotNull() & F.col(right).isNotNull()), "core")
@@ -49,19 +50,37 @@ def bipartite_core(rows: DataFrame, left: str, right: str, left_rows: int = 10,
         now, before = after, count
         count = now.count()
         if count == before:
-            break
-    return now
+            return now
+    raise RuntimeError("the core did not settle")
+
+
+def best_links(edges: DataFrame) -> DataFrame:
+    """(u, v, kind, score), u < v: of several matches of a pair the exact one, which scores 1, else the one with the
+    highest score; ties go to fuzzy, then near, then semantic."""
+    pair = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "kind", F.when(F.col("kind") == "exact", 1.0).otherwise(F.col("score")).alias("score"))
+    rank = F.when(F.col("kind") == "exact", 4).when(F.col("kind") == "fuzzy", 3).when(F.col("kind") == "near", 2).otherwise(1)
+    order = F.struct((F.col("kind") == "exact").alias("x"), F.coalesce("score", F.lit(-1.0)).alias("s"), rank.alias("k"))
+    return pair.where("u != v").groupBy("u", "v").agg(F.max_by(F.struct("kind", "score"), order).alias("b")).select("u", "v", "b.*")
+
+
+def families(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(review_id, family, family_size, avg_similarity) of every node: its component, the nodes in it and the mean
+    score of its links (0 where none has a score)."""
+    links = best_links(edges).join(components.select(F.col("node").alias("u"), F.col("component").alias("family")), "u")
+    millionths = F.sum(F.floor(F.col("score") * 1e6 + 0.5))  # whole numbers, so the mean does not depend on their order
+    mean = links.groupBy("family").agg(rnd(F.coalesce(millionths / F.count("score") / 1e6, F.lit(0.0)), 4).alias("avg_similarity"))
+    sizes = components.groupBy(F.col("component").alias("family")).agg(F.count(F.lit(1)).alias("family_size"))
+    return components.select(F.col("node").alias("review_id"), F.col("component").alias("family")).join(sizes.join(mean, "family", "left"), "family").select(
+        "review_id", "family", "family_size", "avg_similarity"
+    )
 
 
 def family_structure(edges: DataFrame, components: DataFrame) -> DataFrame:
     """Per component: members, links, density and links by kind.
 
-    ``edges``: (u, v, kind, score) in any order and with repeats; of several matches of a pair the exact
-    one counts, else the one with the highest score (ties: the smaller kind).
+    ``edges``: (u, v, kind, score) in any order and with repeats; see ``best_links``.
     """
-    pair = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "kind", "score").where("u != v")
-    best = pair.groupBy("u", "v").agg(F.max_by(F.struct("kind", "score"), F.struct((F.col("kind") == "exact").alias("x"), F.coalesce("score", F.lit(-1.0)).alias("s"), F.when(F.col("kind") == "exact", 4).when(F.col("kind") == "fuzzy", 3).when(F.col("kind") == "near", 2).otherwise(1).alias("k"))).alias("b"))
-    links = best.select("u", F.col("b.kind").alias("kind"), F.col("b.score").alias("score")).join(components.select(F.col("node").alias("u"), "component"), "u")
+    links = best_links(edges).join(components.select(F.col("node").alias("u"), "component"), "u")
     per = links.groupBy("component").agg(
         F.count(F.lit(1)).alias("links"), *[F.count_if(F.col("kind") == k).alias(f"{k}_links") for k in ("exact", "near", "fuzzy", "semantic")],
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.config import CONFIG, ExperienceConfig, FamiliarityConfig, RelevanceConfig
 from plumbline.functions.num import clamp, log_saturate, rnd
 from plumbline.operators.temporal import STARS
-from plumbline.operators.texts import specificity
+from plumbline.operators.texts import with_specificity
 
 
 def _span() -> Column:
@@ -20,7 +20,7 @@ def reviewer_metrics(rv: DataFrame) -> DataFrame:
     n = F.count("rating")
     share = [F.count_if(F.col("rating") == s) / n for s in STARS]
     entropy = sum((F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in share), F.lit(0.0)) / F.log2(F.lit(5.0))
-    base = rv.withColumn("spec", specificity(F.col("text"))).groupBy("reviewer_id").agg(
+    base = with_specificity(rv).groupBy("reviewer_id").agg(
         F.count(F.lit(1)).alias("review_count"),
         rnd(F.avg("rating"), 2).alias("rating_mean"),
         F.when(n < 2, 0.0).otherwise(F.stddev_pop("rating")).alias("std"),
@@ -92,16 +92,16 @@ def local_familiarity(rv: DataFrame, cfg: FamiliarityConfig = CONFIG.familiarity
     return both.select("reviewer_id", "city", "region", rnd(clamp(value, 0.0, 100.0), 1).alias("local_familiarity"))
 
 
-def reviewer_relevance(rv: DataFrame, cfg: RelevanceConfig = CONFIG.relevance) -> DataFrame:
+def reviewer_relevance(rv: DataFrame, cfg: RelevanceConfig = CONFIG.relevance, experience: DataFrame | None = None) -> DataFrame:
     """(reviewer_id, place_category, city, region, relevance) for the combinations that occur.
 
     Depends on these keys only, so it is computed once for each and joined to reviews where needed.
     """
-    h = rv.withColumn("spec", specificity(F.col("text"))).groupBy("reviewer_id").agg(
+    h = with_specificity(rv).groupBy("reviewer_id").agg(
         F.avg("spec").alias("spec"), F.when(F.count("rating") < 2, 0.0).otherwise(F.stddev_pop("rating")).alias("std"), F.count(F.lit(1)).alias("total")
     )
     keys = rv.select("reviewer_id", "place_category", "city", "region").distinct()
-    exp_ = category_experience(rv)
+    exp_ = category_experience(rv) if experience is None else experience
     loc = local_familiarity(rv).select(
         F.col("reviewer_id").alias("l_r"), F.col("city").alias("l_c"), F.col("region").alias("l_g"), "local_familiarity"
     )

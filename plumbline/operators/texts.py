@@ -37,6 +37,11 @@ def specificity(text: Column, cfg: SpecificityConfig = CONFIG.specificity) -> Co
     return F.when(F.trim(squeeze(t)) == "", 0.0).otherwise(rnd(clamp(score, 0.0, 100.0), 1))
 
 
+def with_specificity(rv: DataFrame) -> DataFrame:
+    """``rv`` with the specificity of its texts as ``spec``, unless it has that column already."""
+    return rv if "spec" in rv.columns else rv.withColumn("spec", specificity(F.col("text")))
+
+
 def specificity_scores(rv: DataFrame) -> DataFrame:
     return rv.select("review_id", specificity(F.col("text")).alias("specificity")).withColumn("band", band(F.col("specificity"), 40, 65))
 

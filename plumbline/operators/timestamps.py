@@ -17,7 +17,10 @@ from pyspark.sql import types as T
 
 from plumbline.functions import timeparse
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Rules are read for these years; before and after, the offset at that end holds.
+FIRST_YEAR, LAST_YEAR = 1840, 2100
+#: Sources beyond this number are joined without a broadcast.
+FEW_SOURCES = 10_000
 _FAR = 4 * 10**17  # microseconds, beyond year 9999 on either side
 UTC_FORM = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -33,7 +36,7 @@ def offset_intervals(zone: str) -> tuple[tuple[int, int, int], ...]:
 
     start = int((dt.datetime(FIRST_YEAR, 1, 1, tzinfo=dt.timezone.utc) - epoch).total_seconds())
     stop = int((dt.datetime(LAST_YEAR, 12, 31, tzinfo=dt.timezone.utc) - epoch).total_seconds())
-    changes, t, now, step = [], start, offset(start), 20 * 86400
+    changes, t, now, step = [], start, offset(start), 86400  # no zone changes twice within a day
     while t < stop:
         after = offset(t + step)
         if after != now:
@@ -64,7 +67,7 @@ _INTERVALS = T.StructType([
 def zone_table(spark: SparkSession, zones: list[str]) -> DataFrame:
     """Offset intervals in local microseconds, exploded to one row per zone and year.
 
-    Its size is bounded by the zone database: at most about 600 names x 201 years of a few intervals.
+    Its size is bounded by the zone database: at most about 600 names x 261 years of a few intervals.
     """
     rows = []
     for zone in sorted(set(zones)):
@@ -77,11 +80,23 @@ def zone_table(spark: SparkSession, zones: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, _INTERVALS)
 
 
+def _known(name: str) -> Column:
+    return F.expr(f"{name} IN ({', '.join(repr(z) for z in sorted(zoneinfo.available_timezones()))})")
+
+
+def written_zones(df: DataFrame, column: str = "published_at") -> list[str]:
+    """The names of the zone database that occur in ``column``."""
+    name = F.regexp_extract(F.col(column).cast("string"), r"([A-Za-z][A-Za-z_+-]*(?:/[A-Za-z0-9_+-]+)+)", 1)
+    found = df.where(F.col(column).contains("/")).select(name.alias("z")).where(_known("z")).distinct()
+    return [r[0] for r in found.collect()]  # names of the zone database only
+
+
 def with_instants(
     df: DataFrame,
     sources: DataFrame | None = None,
     column: str = "published_at",
     source_column: str = "source",
+    zones: list[str] | None = None,
 ) -> DataFrame:
     """Adds ``instant_us`` (long), ``utc_day`` (date) and ``zone_note`` to every row of ``df``.
 
@@ -91,7 +106,9 @@ def with_instants(
     null instant. ``zone_note`` is ``ambiguous`` or ``nonexistent`` for wall clocks inside a change,
     ``exact`` for other instants, else null. Rows are neither dropped nor repeated; columns of ``df``
     that bear one of the three added names are replaced, other columns stay as they are.
-    Needs no shuffle: both joined tables are bounded by the zone database and the list of sources.
+    ``zones``: the zone names that may be written, if known; else ``df`` is read once to find them. Years
+    outside ``FIRST_YEAR``..``LAST_YEAR`` have the offset of that end. Needs no shuffle while there are at
+    most ``FEW_SOURCES`` sources: the zone table is bounded by the zone database.
     """
     spark = df.sparkSession
     df = df.drop("instant_us", "utc_day", "zone_note")
@@ -108,27 +125,23 @@ def with_instants(
             F.coalesce("naive_zone", F.lit("UTC")).alias(t + "nz"),
             (F.coalesce("date_order", F.lit("dmy")) == "mdy").alias(t + "mdy"),
         ).dropDuplicates([t + "src"])
-        naive = [r[0] for r in conf.select(t + "nz").distinct().collect()]  # a configuration table
-        work = work.join(F.broadcast(conf), t + "src", "left").fillna({t + "nz": "UTC", t + "mdy": False})
+        first = conf.limit(FEW_SOURCES + 1).collect()
+        few = len(first) <= FEW_SOURCES
+        naive = [r[t + "nz"] for r in first] if few else [r[0] for r in conf.select(t + "nz").distinct().where(_known(t + "nz")).collect()]  # names of the zone database
+        work = work.join(F.broadcast(conf) if few else conf, t + "src", "left").fillna({t + "nz": "UTC", t + "mdy": False})
     c = F.col(column).cast("string")
     tidied = work.withColumn(t + "c", timeparse.tidy(c))
     parts = tidied.withColumn(t + "p", timeparse.parse(F.col(t + "c"), F.col(t + "mdy")))
     parsed = timeparse.finish(parts, t + "p", t + "nz", t)
-    written = [
-        r[0]
-        for r in df.select(F.regexp_extract(c, r"([A-Za-z][A-Za-z_+-]*(?:/[A-Za-z0-9_+-]+)+)", 1).alias("z"))
-        .where(F.col("z").isin(sorted(known)))
-        .distinct()
-        .collect()  # names of the zone database only
-    ]
-    zones = zone_table(spark, [z for z in {*naive, *written} if z in known]).select(
+    written = written_zones(df, column) if zones is None else zones
+    spans = zone_table(spark, [z for z in {*naive, *written} if z in known]).select(
         F.col("zone").alias(t + "z"), F.col("zone_year").alias(t + "y"), F.col("spans").alias(t + "s")
     )
     year = F.year(F.timestamp_micros(t + "us"))
     keyed = parsed.withColumn(t + "z", F.col(t + "zone")).withColumn(
         t + "y", F.when(F.col(t + "z").isNotNull(), F.least(F.greatest(year, F.lit(FIRST_YEAR)), F.lit(LAST_YEAR)))
     )
-    joined = keyed.join(F.broadcast(zones), [t + "z", t + "y"], "left")
+    joined = keyed.join(F.broadcast(spans), [t + "z", t + "y"], "left")
     us = F.col(t + "us")
     hits = F.filter(t + "s", lambda x: (x["local_from"] <= us) & (us < x["local_to"]))
     before = F.filter(t + "s", lambda x: x["local_to"] <= us)

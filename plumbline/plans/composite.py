@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.timeparse import strip
-from plumbline.operators import graph, sampling, scoring, texts, validation, vectors
+from plumbline.operators import graph, sampling, scoring, texts, topics, validation, vectors
 from plumbline.plans import composite_sql
 from plumbline.plans.reference import rv
 from plumbline.session import materialise, table
@@ -20,30 +20,45 @@ def query(f):
 
 
 def _reviews(spark, d):
-    """The review view as a table: the composite scores read it many times."""
-    return materialise(rv(spark, d), "reviews")
+    """The review view with specificity as a table: the composite scores read it many times."""
+    return materialise(texts.with_specificity(rv(spark, d)), "reviews")
+
+
+def _complete(spark, d, r, least):
+    cache = table(spark, d, "embeddings_cache").where("model_name = 'minilm-multi-384'")
+    return topics.complete_places(r, cache.where(F.size("embedding") == 384).groupBy("review_id").agg(F.min("embedding").alias("embedding")), least)
+
+
+def _scored(spark, d):
+    """(reviews, templated, families, clusters, signals): what the composite scores have in common."""
+    r = _reviews(spark, d)
+    complete = _complete(spark, d, r, 2)
+    templated = materialise(scoring.templated_scores(r, peers=topics.semantic_peers(complete)), "templated")
+    families = materialise(graph.families(_edges(spark, d), graph.connected_components(_edges(spark, d), "u", "v")), "families")
+    return r, templated, families, topics.topic_clusters(complete), scoring.event_signals(r)
 
 
 @query
 def templated_scores(spark, d):
-    return scoring.templated_scores(_reviews(spark, d))
+    r = _reviews(spark, d)
+    return scoring.templated_scores(r, peers=topics.semantic_peers(_complete(spark, d, r, 2)))
 
 
 @query
 def coordinated_places(spark, d):
-    r = _reviews(spark, d)
-    return scoring.coordinated_places(r, scoring.templated_scores(r))
+    r, templated, families, clusters, signals = _scored(spark, d)
+    return scoring.coordinated_places(r, templated, families, clusters, signals=signals)
 
 
 @query
 def review_evidence(spark, d):
-    r = _reviews(spark, d)
-    return scoring.review_evidence(r, scoring.templated_scores(r))
+    r, templated, families, clusters, signals = _scored(spark, d)
+    return scoring.review_evidence(r, templated, families, clusters, signals)
 
 
 def _weights(spark, d):
-    r = _reviews(spark, d)
-    evidence = materialise(scoring.review_evidence(r, scoring.templated_scores(r)), "evidence")
+    r, templated, families, clusters, signals = _scored(spark, d)
+    evidence = materialise(scoring.review_evidence(r, templated, families, clusters, signals), "evidence")
     return scoring.review_weights(r, evidence, AS_OF)
 
 
@@ -57,6 +72,16 @@ def weighted_rating(spark, d):
     return scoring.weighted_rating(_weights(spark, d))
 
 
+@query
+def place_phrases(spark, d):
+    return topics.representative_phrases(rv(spark, d, "place_id", "text").where("place_id IS NOT NULL"), "place_id")
+
+
+@query
+def complete_places(spark, d):
+    return _complete(spark, d, rv(spark, d, "place_id"), 1).select("place_id", "review_id")
+
+
 def _edges(spark, d):
     e = table(spark, d, "duplicate_edges").select(strip(F.col("review_id_a")).alias("u"), strip(F.col("review_id_b")).alias("v"), "kind", "score")
     return e.where("u != '' AND v != '' AND u != v AND kind IS NOT NULL")
@@ -74,7 +99,7 @@ def family_structure(spark, d):
 
 @query
 def kcore_reviews(spark, d):
-    return graph.bipartite_core(rv(spark, d, "place_id", "reviewer_id").drop("day"), "place_id", "reviewer_id")
+    return graph.bipartite_core(rv(spark, d, "place_id", "reviewer_id"), "place_id", "reviewer_id")
 
 
 def _labels(spark, d):
@@ -164,7 +189,7 @@ def cumulative_pick(spark, d):
 @query
 def place_band(spark, d):
     sizes = rv(spark, d, "place_id").where("place_id IS NOT NULL").groupBy("place_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.where(F.col("n").between(30, 150)).orderBy(F.desc("n"), "place_id").limit(250)
+    return sizes.where(F.col("n").between(80, 150)).orderBy(F.desc("n"), "place_id").limit(250)
 
 
 @query

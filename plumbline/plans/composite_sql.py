@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans.reference_sql import REL, RV, SHIFT, SPACE, SQUEEZE, clamp, r
+from plumbline.plans.reference_sql import AGREED, REL, RV, SHIFT, SPACE, TOK, clamp, r
 from plumbline.plans.reference_sql import ORACLES as BASE
 
 ORACLES: dict[str, str] = {}
@@ -13,37 +13,49 @@ def _strip(x: str) -> str:
 
 
 
+_SIGNALS = [
+    ("0.3", "coalesce(p.phrase_reuse, 0.0)"), ("0.2", "least(1.0::DOUBLE, greatest(0.0::DOUBLE, (coalesce(b.peers, 0) - 3) / 3.0::DOUBLE))"), ("0.15", "coalesce(st.structure, 0.0)"),
+    ("0.1", "least(1.0::DOUBLE, greatest(0.0::DOUBLE, (50 - sp.specificity) / 50))"), ("0.1", "coalesce(u.low_unique_detail, 0.0)"), ("0.1", "coalesce(sy.uniformity, 0.0)"),
+    ("0.05", "coalesce(least(t.peers, 5) / 5, 0.0)"),
+]
 TEMPLATED = f"""(WITH {RV}
-  SELECT rv.review_id, rv.place_id, {r('''100 * (0.3::DOUBLE * coalesce(p.phrase_reuse, 0.0) + 0.2::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (coalesce(b.peers, 0) - 3) / 3.0::DOUBLE))
-    + 0.15::DOUBLE * coalesce(st.structure, 0.0) + 0.1::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (50 - sp.specificity) / 50)) + 0.1::DOUBLE * coalesce(u.low_unique_detail, 0.0)
-    + 0.1::DOUBLE * coalesce(sy.uniformity, 0.0) + 0.05::DOUBLE * coalesce(least(t.peers, 5) / 5, 0.0))''', 1)} AS templated
+  SELECT rv.review_id, rv.place_id, {r('100 * (' + ' + '.join(f'{w}::DOUBLE * {v}' for w, v in _SIGNALS) + ')', 1)} AS templated, {' + '.join(f'({v} >= 0.5)::INT' for _, v in _SIGNALS)} AS active
   FROM rv JOIN ({BASE['specificity']}) sp ON sp.review_id = rv.review_id LEFT JOIN ({BASE['phrase_reuse']}) p ON p.review_id = rv.review_id
   LEFT JOIN ({BASE['bigram_peers']}) b ON b.review_id = rv.review_id LEFT JOIN ({BASE['structure_similarity']}) st ON st.review_id = rv.review_id
   LEFT JOIN ({BASE['unique_detail']}) u ON u.review_id = rv.review_id LEFT JOIN ({BASE['style_uniformity']}) sy ON sy.place_id = rv.place_id
   LEFT JOIN ({BASE['temporal_peer_signal']}) t ON t.place_id = rv.place_id AND t.day = rv.day)"""
-ORACLES["templated_scores"] = f"SELECT *, CASE WHEN templated >= 65 THEN 'HIGH' WHEN templated >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM {TEMPLATED}"
+ORACLES["templated_scores"] = f"SELECT *, CASE WHEN templated >= 65 AND active >= 3 THEN 'HIGH' WHEN templated >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM {TEMPLATED}"
 
-DUP = f"""dupk AS (SELECT place_id, review_id, coalesce({SQUEEZE}, '') AS k FROM rv),
-dup AS (SELECT place_id, review_id, count(*) OVER (PARTITION BY place_id, k) AS family_size FROM dupk QUALIFY family_size >= 3)"""
-ORACLES["coordinated_places"] = f"""WITH {SHIFT}, {DUP}, tpl AS (SELECT * FROM {TEMPLATED}),
+EDGES = f"""e AS (SELECT {_strip('review_id_a')} AS u, {_strip('review_id_b')} AS v, kind, score FROM duplicate_edges WHERE kind IS NOT NULL),
+ee AS (SELECT * FROM e WHERE u != '' AND v != '' AND u != v)"""
+COMP = f"""{EDGES}, g AS (SELECT u, v FROM ee UNION SELECT v, u FROM ee),
+reach AS (SELECT DISTINCT u AS n, u AS r FROM g UNION SELECT g.v, reach.r FROM reach JOIN g ON g.u = reach.n),
+comp AS (SELECT n AS node, min(r) AS component FROM reach GROUP BY n),
+best AS (SELECT least(u, v) AS u, greatest(u, v) AS v, kind, CASE WHEN kind = 'exact' THEN 1.0 ELSE score END AS score FROM ee QUALIFY row_number() OVER (PARTITION BY least(u, v), greatest(u, v)
+    ORDER BY (kind = 'exact') DESC, coalesce(CASE WHEN kind = 'exact' THEN 1.0 ELSE score END, -1.0) DESC, CASE kind WHEN 'fuzzy' THEN 1 WHEN 'near' THEN 2 ELSE 3 END) = 1)"""
+# of families of three or more: size, and how alike their members are
+DUP = f"""{COMP}, big AS (SELECT component, count(*) AS family_size FROM comp GROUP BY 1 HAVING count(*) >= 3),
+sim AS (SELECT component, {r('coalesce(sum(floor(score * 1e6 + 0.5)::BIGINT) / count(score) / 1e6, 0.0)', 4)} AS s FROM best JOIN comp ON node = u GROUP BY 1),
+dup AS (SELECT node AS review_id, {r('least(1.0, family_size / 5.0) * least(1.0, greatest(0.5, s))', 3)}::DOUBLE AS duplicate FROM comp JOIN big USING (component) JOIN sim USING (component))"""
+ORACLES["coordinated_places"] = f"""WITH RECURSIVE {SHIFT}, {DUP}, tpl AS (SELECT * FROM {TEMPLATED}),
   n AS (SELECT place_id, count(*) AS reviews FROM rv WHERE place_id IS NOT NULL GROUP BY 1),
   c AS (SELECT n.place_id, n.reviews, {r(clamp('''100 * (0.3::DOUBLE * coalesce((SELECT least(1.0, greatest(0.0, max(z_score) / 10)) FROM bursts b WHERE b.place_id = n.place_id), 0.0)
     + 0.25::DOUBLE * coalesce((SELECT least(1.0, greatest(0.0, max(jsd) / 0.3::DOUBLE)) FROM shifts s WHERE s.place_id = n.place_id), 0.0)
-    + 0.08::DOUBLE * (SELECT count(*) FROM dup d WHERE d.place_id = n.place_id)::DOUBLE / n.reviews + 0.1::DOUBLE * coalesce(g.temporal_density, 0.0)
+    + 0.08::DOUBLE * (SELECT count(*) FROM dup d JOIN rv ON rv.review_id = d.review_id WHERE rv.place_id = n.place_id)::DOUBLE / n.reviews + 0.1::DOUBLE * coalesce(g.temporal_density, 0.0)
     + 0.07::DOUBLE * (SELECT count(*) FROM tpl t WHERE t.place_id = n.place_id AND templated >= 65)::DOUBLE / n.reviews + 0.05::DOUBLE * o.top_share)''', 0, 100), 1)} AS coordinated
     FROM n LEFT JOIN ({BASE['temporal_gap_signal']}) g ON g.place_id = n.place_id LEFT JOIN ({BASE['top_reviewer_share']}) o ON o.place_id = n.place_id)
   SELECT *, CASE WHEN coordinated >= 65 THEN 'HIGH' WHEN coordinated >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM c"""
 EVIDENCE = f"""evd AS (SELECT place_id, day FROM bursts UNION SELECT place_id, (day + o)::DATE FROM shifts CROSS JOIN (VALUES (-1), (0), (1)) o(o)),
-str AS ({BASE['burst_strength']}),
+str AS ({AGREED}),
 busy AS (SELECT d.place_id, sum(n) AS event_reviews FROM daily d JOIN evd USING (place_id, day) GROUP BY 1),
 tot_p AS (SELECT place_id, count(*) AS place_reviews FROM rv GROUP BY 1), {DUP}, tpl AS (SELECT * FROM {TEMPLATED}),
-ev0 AS (SELECT rv.review_id, CASE WHEN d.family_size IS NULL THEN 0.0 ELSE {r('least(1.0, d.family_size / 5.0)', 3)} END::DOUBLE AS duplicate, {r('coalesce(t.templated, 0.0) / 100', 3)} AS templated_p,
+ev0 AS (SELECT rv.review_id, coalesce(d.duplicate, 0.0) AS duplicate, {r('coalesce(t.templated, 0.0) / 100', 3)} AS templated_p,
   {r('coalesce(s.burst, 0.0) * (0.5 + 0.5 * coalesce(s.shift, 0.0))', 3)} AS event, (e.day IS NOT NULL)::INT::DOUBLE AS one, coalesce(b.event_reviews, 0)::DOUBLE AS er, p.place_reviews
   FROM rv LEFT JOIN dup d ON d.review_id = rv.review_id LEFT JOIN tpl t ON t.review_id = rv.review_id LEFT JOIN str s ON s.place_id = rv.place_id AND s.day = rv.day
   LEFT JOIN evd e ON e.place_id = rv.place_id AND e.day = rv.day LEFT JOIN busy b ON b.place_id = rv.place_id LEFT JOIN tot_p p ON p.place_id = rv.place_id),
 evidence AS (SELECT review_id, duplicate, templated_p, {r('least(1.0::DOUBLE, 0.35::DOUBLE * event + 0.3::DOUBLE * greatest(duplicate, templated_p) + 0.15::DOUBLE * CASE WHEN er > 0 THEN '
   + r('0.5 * one + 0.5 * least(1.0::DOUBLE, greatest(0.0::DOUBLE, er - one) / place_reviews)', 3) + ' ELSE 0.0 END)', 3)} AS coordinated FROM ev0)"""
-ORACLES["review_evidence"] = f"WITH {SHIFT}, {EVIDENCE} SELECT * FROM evidence"
+ORACLES["review_evidence"] = f"WITH RECURSIVE {SHIFT}, {EVIDENCE} SELECT * FROM evidence"
 WEIGHTS = f"""{EVIDENCE}, {REL},
 wq AS (SELECT v.*, s.specificity AS sp, e.category_experience AS ce, l.relevance AS re, x.duplicate AS du, x.templated_p AS tp, x.coordinated AS co FROM rv v
   JOIN ({BASE['specificity']}) s ON s.review_id = v.review_id JOIN evidence x ON x.review_id = v.review_id
@@ -52,20 +64,13 @@ wq AS (SELECT v.*, s.specificity AS sp, e.category_experience AS ce, l.relevance
 weights AS (SELECT review_id, place_id, rating, {r(clamp('''1 + 2 * greatest(0.0::DOUBLE, 0.35::DOUBLE * sp / 100 + 0.2::DOUBLE * coalesce(ce, 0.0) / 100 + 0.25::DOUBLE * coalesce(re, 0.0) / 100
   + 0.2::DOUBLE * (CASE WHEN day IS NOT NULL THEN pow(0.5::DOUBLE, greatest(0, DATE '2025-01-01' - day) / 365.0::DOUBLE) ELSE 0.0 END) - 0.5)
   - (0.3::DOUBLE * du + 0.25::DOUBLE * tp + 0.2::DOUBLE * greatest(0.0::DOUBLE, ''' + r('co - ' + r('0.3::DOUBLE * greatest(du, tp)', 3), 3) + '))', 0.25, 2.0), 4)} AS weight FROM wq)"""
-ORACLES["review_weights"] = f"WITH {SHIFT}, {WEIGHTS} SELECT * FROM weights"
-ORACLES["weighted_rating"] = f"""WITH {SHIFT}, {WEIGHTS} SELECT place_id, count(*) AS rated, {r('avg(rating)', 2)} AS raw, {r('sum(rating * weight) / sum(weight)', 2)} AS weighted,
+ORACLES["review_weights"] = f"WITH RECURSIVE {SHIFT}, {WEIGHTS} SELECT * FROM weights"
+ORACLES["weighted_rating"] = f"""WITH RECURSIVE {SHIFT}, {WEIGHTS} SELECT place_id, count(*) AS rated, {r('avg(rating)', 2)} AS raw, {r('sum(rating * weight) / sum(weight)', 2)} AS weighted,
   {r('sum(rating * weight) / sum(weight) - avg(rating)', 3)} AS delta, {r('avg((weight < 0.6)::INT)', 4)} AS low_share, {r('avg((weight > 1.2)::INT)', 4)} AS high_share,
   CASE WHEN count(*) >= 20 THEN 'HIGH' WHEN count(*) >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM weights WHERE rating IS NOT NULL AND place_id IS NOT NULL GROUP BY 1"""
 
-EDGES = f"""e AS (SELECT {_strip('review_id_a')} AS u, {_strip('review_id_b')} AS v, kind, score FROM duplicate_edges WHERE kind IS NOT NULL),
-ee AS (SELECT * FROM e WHERE u != '' AND v != '' AND u != v)"""
-COMP = f"""{EDGES}, g AS (SELECT u, v FROM ee UNION SELECT v, u FROM ee),
-reach AS (SELECT DISTINCT u AS n, u AS r FROM g UNION SELECT g.v, reach.r FROM reach JOIN g ON g.u = reach.n),
-comp AS (SELECT n AS node, min(r) AS component FROM reach GROUP BY n)"""
 ORACLES["family_components"] = f"WITH RECURSIVE {COMP} SELECT * FROM comp"
 ORACLES["family_structure"] = f"""WITH RECURSIVE {COMP},
-  best AS (SELECT least(u, v) AS u, greatest(u, v) AS v, kind FROM ee QUALIFY row_number() OVER (PARTITION BY least(u, v), greatest(u, v)
-    ORDER BY (kind = 'exact') DESC, coalesce(score, -1.0) DESC, kind) = 1),
   l AS (SELECT component, count(*) AS links, {", ".join(f"count(*) FILTER (kind = '{k}') AS {k}_links" for k in ("exact", "near", "fuzzy", "semantic"))} FROM best JOIN comp ON node = u GROUP BY 1),
   m AS (SELECT component, count(*) AS members FROM comp GROUP BY 1)
   SELECT component, members, links, floor(links / (members * (members - 1) / 2) * 10000 + 0.5)::BIGINT AS density_e4, exact_links, near_links, fuzzy_links, semantic_links,
@@ -91,7 +96,7 @@ labels AS (SELECT * EXCLUDE unknown, unknown + (coalesce(duplicate_label = 'dupl
 ORACLES["cleaned_labels"] = f"WITH {LABELS} SELECT * FROM labels"
 PAIRS = f"{RV}, {LABELS}, pairs AS (SELECT * FROM labels JOIN ({BASE['specificity']}) s USING (review_id))"
 _RATES = f"""{r('tp / nullif(tp + fp, 0)', 4)} AS precision, {r('tp / nullif(tp + fn, 0)', 4)} AS recall, {r('2 * tp / nullif(2 * tp + fp + fn, 0)', 4)} AS f1"""
-ORACLES["confusion_sweep"] = f"""WITH {PAIRS}, x AS (SELECT t.t AS threshold, templated_label = 'templated' AS y, 100 - specificity >= t.t AS p FROM pairs CROSS JOIN range(0, 101, 5) t(t)
+ORACLES["confusion_sweep"] = f"""WITH {LABELS}, x AS (SELECT t.t AS threshold, templated_label = 'templated' AS y, templated >= t.t AS p FROM labels JOIN {TEMPLATED} tp USING (review_id) CROSS JOIN range(0, 101, 5) t(t)
   WHERE templated_label IN ('templated', 'organic')),
   c AS (SELECT threshold::INT AS threshold, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM x GROUP BY 1)
   SELECT *, {_RATES} FROM c"""
@@ -129,7 +134,7 @@ ORACLES["largest_remainder"] = f"WITH {RV}, {_alloc(1000)} SELECT place_id, n, a
 ORACLES["proportional_sample"] = f"""WITH {RV}, {_alloc(500)}, k AS (SELECT review_id, rv.place_id, allocated, row_number() OVER (PARTITION BY rv.place_id ORDER BY sha256('3:' || review_id), review_id) AS k
   FROM rv JOIN al ON al.place_id = rv.place_id) SELECT review_id, place_id FROM k WHERE k <= allocated"""
 ORACLES["cumulative_pick"] = f"WITH {RV}, {SIZES}, c AS (SELECT *, sum(n) OVER (ORDER BY n DESC, place_id ROWS UNBOUNDED PRECEDING) AS c FROM sizes) SELECT place_id, n FROM c WHERE c - n < (SELECT ceil(sum(n) / 3) FROM sizes)"
-ORACLES["place_band"] = f"WITH {RV}, {SIZES} SELECT place_id, n FROM sizes WHERE n BETWEEN 30 AND 150 ORDER BY n DESC, place_id LIMIT 250"
+ORACLES["place_band"] = f"WITH {RV}, {SIZES} SELECT place_id, n FROM sizes WHERE n BETWEEN 80 AND 150 ORDER BY n DESC, place_id LIMIT 250"
 
 
 def _word(x: str) -> str:
@@ -152,3 +157,12 @@ ORACLES["mean_cosine"] = f"""WITH {RV}, v AS (SELECT review_id, min(embedding) A
   SELECT place_id, n, {r('CASE WHEN n < 2 THEN 1.0 ELSE (sq - n) / (n * (n - 1)) END', 6)} AS mean_cosine FROM c JOIN s USING (place_id)"""
 ORACLES["escaped_texts"] = rf"""WITH {RV} SELECT review_id, replace(regexp_replace(text, '([\\`*_{{}}\[\]()#+\-.!|<>~])', '\\\1', 'g'), chr(10), '  ' || chr(10)) AS escaped FROM rv WHERE text IS NOT NULL"""
 ORACLES["event_type_daily"] = "SELECT ts::DATE AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE ts IS NOT NULL GROUP BY ALL"
+
+_TOK2 = TOK.replace("tok AS", "tk AS").replace("NOT list_contains", "length(w) > 1 AND NOT list_contains")
+ORACLES["place_phrases"] = f"""WITH {RV}, {_TOK2}, a AS (
+    SELECT place_id, unnest(t) AS phrase, 1 AS k FROM tk WHERE place_id IS NOT NULL
+    UNION ALL SELECT place_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])), 2 FROM tk WHERE place_id IS NOT NULL),
+  c AS (SELECT place_id, k, phrase, count(*) AS n FROM a GROUP BY place_id, k, phrase QUALIFY row_number() OVER (PARTITION BY place_id, k ORDER BY count(*) DESC, phrase) <= CASE k WHEN 2 THEN 40 ELSE 30 END)
+  SELECT place_id, phrase, n, (row_number() OVER w)::INT AS rank FROM c WINDOW w AS (PARTITION BY place_id ORDER BY n DESC, phrase) QUALIFY row_number() OVER w <= 5"""
+ORACLES["complete_places"] = f"""WITH {RV}, v AS (SELECT DISTINCT review_id FROM embeddings_cache WHERE model_name = 'minilm-multi-384' AND len(embedding) = 384)
+  SELECT place_id, review_id FROM rv WHERE place_id IS NOT NULL QUALIFY count(*) OVER (PARTITION BY place_id) = sum((review_id IN (SELECT review_id FROM v))::INT) OVER (PARTITION BY place_id)"""

@@ -10,7 +10,7 @@ from plumbline.operators import keywords as kw
 from plumbline.operators import places, reviewers, temporal, texts
 from plumbline.operators.base import review_view
 from plumbline.plans import reference_sql
-from plumbline.session import table
+from plumbline.session import materialise, table
 
 QUERIES = {}
 
@@ -21,11 +21,12 @@ def query(f):
 
 
 def rv(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return review_view(table(spark, d, "reviews"), list(columns) or None)
+    return review_view(table(spark, d, "reviews"), list(columns) or None, table(spark, d, "review_sources"))
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.daily_counts(rv(spark, d, "place_id", "rating"))
+    """Counts per place and day as a table: what is built on it reads it several times."""
+    return materialise(temporal.daily_counts(rv(spark, d, "place_id", "rating", "day")), "daily")
 
 
 @query
@@ -46,7 +47,7 @@ def store_counts(spark, d):
 @query
 def filtered_reviews(spark, d):
     cond = places.review_filter("2023-01-01", "2023-12-31", [1, 5])
-    return rv(spark, d, "place_id", "rating", "place_category", "reviewer_id").where(cond).select("review_id", "place_id", "rating", "day")
+    return rv(spark, d, "place_id", "rating", "place_category", "reviewer_id", "day").where(cond).select("review_id", "place_id", "rating", "day")
 
 
 @query
@@ -77,7 +78,7 @@ def rating_distribution(spark, d):
 
 @query
 def rating_over_time(spark, d):
-    return places.rating_over_time(rv(spark, d, "rating"))
+    return places.rating_over_time(rv(spark, d, "rating", "day"))
 
 
 @query
@@ -92,7 +93,7 @@ def place_ranking(spark, d):
     r = rv(spark, d, "place_id", "place_name", "rating", "reviewer_id")
     per = r.groupBy("place_id").agg(
         F.min("place_name").alias("place_name"), F.count(F.lit(1)).alias("reviews"), rnd(F.avg("rating"), 4).alias("avg_rating"),
-        F.countDistinct("reviewer_id").alias("reviewers"), F.max("day").alias("last_day"),
+        F.countDistinct("reviewer_id").alias("reviewers"),
     )
     return places.ranking(per, {"most_reviews": ("reviews", True), "best_rated": ("avg_rating", True), "worst_rated": ("avg_rating", False), "most_reviewers": ("reviewers", True)})
 
@@ -109,7 +110,7 @@ def burst_events(spark, d):
 
 def _bursts(spark, d):
     days = daily(spark, d)
-    events = temporal.burst_events(days)
+    events = materialise(temporal.burst_events(days), "events")
     return days, events, temporal.rating_shifts(days, events)
 
 
@@ -234,7 +235,7 @@ def keywords_by_rating(spark, d):
 
 @query
 def emerging_keywords(spark, d):
-    dated = _docs(spark, d, "country").where("country IS NOT NULL AND day IS NOT NULL")
+    dated = materialise(_docs(spark, d, "country", "day"), "docs").where("country IS NOT NULL AND day IS NOT NULL")
     last = dated.groupBy("country").agg(F.max("day").alias("anchor"))
     return kw.emerging(dated.join(last, "country"), "country", F.col("anchor"))
 

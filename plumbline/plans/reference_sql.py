@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from plumbline.functions import lexicon
+from plumbline.plans.general_sql import INSTANTS
 
 ORACLES: dict[str, str] = {}
 
 SPACE = r"[\p{Z}\t-\r\x1c-\x1f\x{85}]"
-RV = r"""rv AS (
-  SELECT *, CASE WHEN regexp_full_match(left(published_at, 10), '\d{4}-\d{2}-\d{2}') THEN try_cast(left(published_at, 10) AS DATE) END AS day
-  FROM reviews WHERE review_id IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY ingested_at DESC NULLS LAST, rating DESC NULLS LAST, source_url DESC NULLS LAST) = 1
-)"""
+# one row per review: the current delivery, its day and the canonical form of its instant
+RV = f"""{INSTANTS.strip()},
+rv AS (SELECT cur.* EXCLUDE (published_at), coalesce(strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f'), cur.published_at) AS published_at, make_timestamp(us)::DATE AS day
+  FROM cur JOIN inst ON inst.review_id = cur.review_id)"""
 DAILY = f"""{RV},
 daily AS (SELECT place_id, day, count(*) AS n, {", ".join(f"count(*) FILTER (rating = {s}) AS r{s}" for s in range(1, 6))}
   FROM rv WHERE place_id IS NOT NULL AND day IS NOT NULL GROUP BY place_id, day)"""
@@ -109,12 +109,17 @@ shifts AS (SELECT place_id, day, jsd, top_share, {_dominant('p')} AS baseline_ra
   CASE WHEN jsd >= 0.1 AND top_share >= 0.7 THEN 'HIGH' WHEN jsd >= 0.05 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   {r(clamp('jsd / 0.1', 0, 1) + ' * 100', 1)} AS score FROM js)"""
 add("rating_anomaly_jsd", f"WITH {SHIFT} SELECT * FROM shifts")
+# the strengths that count as evidence: shifts weakened by how spread their ratings are
 _AROUND = "CROSS JOIN (VALUES (-1), (0), (1)) o(o)"
 add("event_days", f"WITH {SHIFT} SELECT place_id, day FROM bursts UNION SELECT place_id, (day + o)::DATE FROM shifts {_AROUND}")
 add("burst_strength", f"""WITH {SHIFT},
   x AS (SELECT place_id, (day + o)::DATE AS day, {clamp('z_score / 10', 0, 1)} AS burst, 0.0::DOUBLE AS shift FROM bursts {_AROUND}
     UNION ALL SELECT place_id, (day + o)::DATE, 0.0, {clamp('jsd / 0.3', 0, 1)} FROM shifts {_AROUND})
   SELECT place_id, day, {r('max(burst)', 4)} AS burst, {r('max(shift)', 4)} AS shift FROM x GROUP BY ALL""")
+AGREED = f"""SELECT place_id, day, {r('max(burst)', 4)} AS burst, {r('max(shift)', 4)} AS shift FROM (
+    SELECT place_id, (day + o)::DATE AS day, {clamp('z_score / 10', 0, 1)} AS burst, 0.0::DOUBLE AS shift FROM bursts {_AROUND}
+    UNION ALL SELECT place_id, (day + o)::DATE, 0.0, {clamp('jsd / 0.3', 0, 1)} * CASE WHEN top_share >= 0.7 THEN 1.0 WHEN top_share >= 0.5 THEN 0.5 WHEN top_share >= 0.3 THEN 0.15 ELSE 0.0 END::DOUBLE
+    FROM shifts {_AROUND}) GROUP BY ALL"""
 add("temporal_gap_signal", f"""WITH {RV}, g AS (SELECT place_id, day - lag(day) OVER (PARTITION BY place_id ORDER BY day) AS g FROM rv WHERE place_id IS NOT NULL AND day IS NOT NULL),
   m AS (SELECT place_id, median(g)::DOUBLE AS median_gap FROM g GROUP BY 1)
   SELECT place_id, median_gap, {r('coalesce(greatest(0.0, 1 - median_gap / 7.0), 0.0)', 4)} AS temporal_density FROM m""")
@@ -213,8 +218,12 @@ def _keywords(docs: str, group: str, top: int) -> str:
   stats AS (SELECT {group}, term, count(*) AS df FROM tf GROUP BY {group}, term QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY sum(tf) DESC, term) <= 5000),
   raw AS (SELECT tf.{group}, doc, tf.term, (1 + ln(tf)) * (ln((1 + docs) / (1 + df)) + 1) AS x FROM tf JOIN stats s ON tf.{group} = s.{group} AND tf.term = s.term JOIN sizes z ON z.{group} = tf.{group}),
   norm AS (SELECT {group}, doc, sqrt(sum(x * x)) AS norm FROM raw GROUP BY ALL),
-  sc AS (SELECT r.{group}, term, {r('sum(x / norm) / any_value(docs)', 6)} AS score FROM raw r JOIN norm n ON r.{group} = n.{group} AND r.doc = n.doc JOIN sizes z ON z.{group} = r.{group} WHERE docs >= 2 GROUP BY ALL)
-  SELECT {group}, term, score, (row_number() OVER w)::INT AS rank FROM sc WHERE score > 0 WINDOW w AS (PARTITION BY {group} ORDER BY score DESC, term) QUALIFY row_number() OVER w <= {top}"""
+  sc AS (SELECT r.{group}, term, {r('sum(x / norm) / any_value(docs)', 6)} AS score FROM raw r JOIN norm n ON r.{group} = n.{group} AND r.doc = n.doc JOIN sizes z ON z.{group} = r.{group} WHERE docs >= 2 GROUP BY ALL),
+  many AS (SELECT {group}, term, score, (row_number() OVER w)::INT AS rank FROM sc WHERE score > 0 WINDOW w AS (PARTITION BY {group} ORDER BY score DESC, term) QUALIFY row_number() OVER w <= {top}),
+  one AS (SELECT l.{group}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM live l JOIN sizes z ON z.{group} = l.{group} WHERE docs = 1),
+  spots AS (SELECT {group}, len(t) AS total, unnest(t) AS term, unnest(range(len(t))) AS spot FROM one),
+  shares AS (SELECT {group}, term, {r('count(*) / any_value(total)', 6)} AS score, (row_number() OVER (PARTITION BY {group} ORDER BY count(*) DESC, min(spot)))::INT AS rank FROM spots GROUP BY {group}, term)
+  SELECT * FROM many UNION ALL SELECT * FROM shares WHERE rank <= {top}"""
 
 
 add("tfidf_keywords", _keywords("SELECT country, review_id AS doc, text FROM rv WHERE country IS NOT NULL", "country", 15))
