@@ -18,11 +18,11 @@ ENUMS = {
 }
 
 
-def clean_labels(labels: DataFrame) -> DataFrame:
-    """Labels with trimmed lower-case verdicts, unknown ones null with a warning, and consistency warnings."""
+def clean_labels(labels: DataFrame, others: list[str] | None = None) -> DataFrame:
+    """Labels, with the columns ``others`` as they are, with trimmed lower-case verdicts, unknown ones null with a warning, and consistency warnings."""
     cleaned = {c: F.nullif(F.lower(F.trim(F.col(c))), F.lit("")) for c in ENUMS}
     plain = {c: F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("review_id", "template_group_id", "duplicate_group_id", "annotator_id")}
-    x = labels.select(*[v.alias(c) for c, v in plain.items()], *[v.alias(c) for c, v in cleaned.items()]).where("review_id IS NOT NULL")
+    x = labels.select(*[v.alias(c) for c, v in plain.items()], *[v.alias(c) for c, v in cleaned.items()], *(others or [])).where("review_id IS NOT NULL")
     wrong = [F.when(F.col(c).isNotNull() & ~F.col(c).isin(v), F.concat(F.lit(f"unknown {c}: "), F.col(c))) for c, v in ENUMS.items()]
     x = x.withColumn("w", F.array_compact(F.array(*wrong)))
     for c, v in ENUMS.items():
@@ -45,10 +45,10 @@ def threshold_sweep(pairs: DataFrame, score: str, truth: Column, step: int = 5)
         F.sum(F.when(F.col("b") >= F.col("i"), F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("b") >= F.col("i"), F.col("n")).otherwise(0)).alias("fp"),
         F.sum(F.when(F.col("b") < F.col("i"), F.col("p")).otherwise(0)).alias("fn"), F.sum(F.when(F.col("b") < F.col("i"), F.col("n")).otherwise(0)).alias("tn"),
     )
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return at.select(
         (F.col("i") * step).alias("threshold"), "tp", "fp", "fn", "tn", rnd(ratio(tp, tp + fp), 4).alias("precision"), rnd(ratio(tp, tp + fn), 4).alias("recall"),
-        rnd(ratio(2 * tp, 2 * tp + fp + fn), 4).alias("f1"),
+        rnd(ratio(2 * tp, 2 * tp + fp + fn), 4).alias("f1"), rnd(ratio(fp, fp + tn), 4).alias("fpr"), rnd(ratio(fn, fn + tp), 4).alias("fnr"),
     )
 
 

@@ -39,3 +39,14 @@ def mean_cosine(vectors: DataFrame, group: str, vector: str, dim: int) -> DataFr
     sums = unit.groupBy(group).agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("u")).alias("s")).withColumn("s", vector_to_array("s"))
     sq = F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)
     return sums.select(group, "n", rnd(F.when(F.col("n") < 2, 1.0).otherwise((sq - F.col("n")) / (F.col("n") * (F.col("n") - 1))), 6).alias("mean_cosine"))
+
+
+def centre_cosines(vectors: DataFrame, group: str, key: str, vector: str, dim: int) -> DataFrame:
+    """(group, key, cosine) of every vector with the mean of the unit vectors of its group, rounded to 3 digits."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+    live = vectors.where(F.size(vector) == dim).withColumn("__n", norm).where("__n > 0")
+    unit = live.select(group, key, F.zip_with(vector, F.array_repeat("__n", dim), lambda x, n: x / n).alias("u"))
+    centre = unit.groupBy(group).agg(vector_to_array(Summarizer.mean(array_to_vector("u"))).alias("c"))
+    dot = F.aggregate(F.zip_with("u", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    length = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x)) + 1e-9
+    return unit.join(centre, group).select(group, key, rnd(dot / length, 3).alias("cosine"))

@@ -99,7 +99,7 @@ _RATES = f"""{r('tp / nullif(tp + fp, 0)', 4)} AS precision, {r('tp / nullif(tp
 ORACLES["confusion_sweep"] = f"""WITH {LABELS}, x AS (SELECT t.t AS threshold, templated_label = 'templated' AS y, templated >= t.t AS p FROM labels JOIN {TEMPLATED} tp USING (review_id) CROSS JOIN range(0, 101, 5) t(t)
   WHERE templated_label IN ('templated', 'organic')),
   c AS (SELECT threshold::INT AS threshold, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM x GROUP BY 1)
-  SELECT *, {_RATES} FROM c"""
+  SELECT *, {_RATES}, {r('fp / nullif(fp + tn, 0)', 4)} AS fpr, {r('fn / nullif(fn + tp, 0)', 4)} AS fnr FROM c"""
 ORACLES["specificity_spearman"] = f"""WITH {PAIRS}, p AS (SELECT CASE specificity_label WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 END AS h, specificity AS s FROM pairs),
   q AS (SELECT rank() OVER (ORDER BY h) + (count(*) OVER (PARTITION BY h) - 1) / 2 AS a, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS b FROM p WHERE h IS NOT NULL)
   SELECT count(*) AS n, {r('covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b))', 4)} AS spearman FROM q"""

@@ -35,21 +35,32 @@ REQUIRED = ("review_id", "place_id", "reviewer_id")
 ENCODINGS = ("utf-8", "cp1251", "latin-1")
 
 
-def _head(spark: SparkSession, path: str, size: int = 1 << 20) -> bytes:
+def _head(spark: SparkSession, path: str, size: int = 1 << 16) -> bytes:
+    """The first bytes, up to the last line feed among them; they tell the separator, not the encoding."""
     rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("c")).limit(1).collect()
-    return bytes(rows[0]["c"]) if rows else b""
+    head = bytes(rows[0]["c"]) if rows else b""
+    return head[: head.rfind(b"\n") + 1] or head
 
 
-def sniff_encoding(head: bytes) -> str:
-    """The first encoding that decodes the head, up to a character cut off at its end."""
-    for name in ENCODINGS:
-        try:
-            head.decode(name)
-            return name
-        except UnicodeDecodeError as e:
-            if name == "utf-8" and e.start >= len(head) - 3 and len(head) > 3:
-                return name
-    return "latin-1"
+def sniff_encoding(spark: SparkSession, path: str) -> str:
+    """The first of ``ENCODINGS`` that decodes every line of the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad = [0] * len(ENCODINGS)
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                raw = line.encode("latin-1")
+                for i, name in enumerate(ENCODINGS):
+                    try:
+                        raw.decode(name)
+                        break
+                    except UnicodeDecodeError:
+                        bad[i] = 1
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()) for b in bad], names=[f"e{i}" for i in range(len(ENCODINGS))])
+
+    lines = spark.read.option("encoding", "ISO-8859-1").option("header", False).option("sep", "\x01").option("quote", "").option("lineSep", "\n").schema("value string").csv(path)
+    failed = lines.where("value IS NOT NULL").mapInArrow(run, ", ".join(f"e{i} int" for i in range(len(ENCODINGS)))).agg(*[F.max(f"e{i}") for i in range(len(ENCODINGS))]).first()
+    return next(name for name, f in zip(ENCODINGS, failed, strict=True) if not f)
 
 
 def sniff_delimiter(text: str) -> str:
@@ -61,7 +72,7 @@ def sniff_delimiter(text: str) -> str:
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None) -> DataFrame:
     """All columns as text, blanks kept as empty strings; quoted fields may hold line breaks."""
     head = _head(spark, path)
-    encoding = encoding or sniff_encoding(head)
+    encoding = encoding or sniff_encoding(spark, path)
     separator = separator or sniff_delimiter(head.decode(encoding, "replace"))
     one_byte = encoding not in ("utf-8", "utf-16", "utf-32")
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', sep=separator, encoding="ISO-8859-1" if one_byte else encoding, nullValue="\x00", emptyValue="")
@@ -112,18 +123,21 @@ def unescape_tskv(value: str) -> str:
 
 
 def read_tskv(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """Lines of ``tskv<tab>key=value...`` with backslash escapes; lines with another shape give no row."""
+    """Lines of ``tskv<tab>key=value...`` with backslash escapes, and ``reject_reason``: null for a readable line,
+    else ``malformed line``, the fields being null then. Empty lines give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[tuple[dict, str | None]] = []
             for line in batch.column(0).to_pylist():
                 parts = [p for p in line.split("\t") if p and p.strip() != "tskv"]
                 if parts and all("=" in p for p in parts):
-                    rows.append({k.strip(): unescape_tskv(v.strip()) for k, v in (p.split("=", 1) for p in parts)})
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(f) for r in rows], pa.string()) for f in fields], names=fields)
+                    rows.append(({k.strip(): unescape_tskv(v.strip()) for k, v in (p.split("=", 1) for p in parts)}, None))
+                elif line.strip():
+                    rows.append(({}, "malformed line"))
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f) for r, _ in rows], pa.string()) for f in fields] + [pa.array([w for _, w in rows], pa.string())], names=[*fields, "reject_reason"])
 
-    return spark.read.text(path).mapInArrow(run, ", ".join(f"`{f}` string" for f in fields))
+    return spark.read.text(path).mapInArrow(run, ", ".join(f"`{f}` string" for f in [*fields, "reject_reason"]))
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
@@ -136,11 +150,35 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path) if name.endswith(".parquet") else read_csv(spark, path)
 
 
+def sniff_format(spark: SparkSession, path: str) -> str:
+    """parquet, tskv, jsonl, json or csv, by suffix and else by the first bytes; .gz and .bz2 are looked through."""
+    name = path.lower().removesuffix(".gz").removesuffix(".bz2")
+    for suffix, kind in ((".parquet", "parquet"), (".tskv", "tskv"), (".jsonl", "jsonl"), (".json", "json"), (".csv", "csv")):
+        if name.endswith(suffix):
+            return "jsonl" if suffix == ".json" and path.lower().endswith(".gz") else kind
+    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 64).alias("c")).limit(1).collect()
+    head = bytes(rows[0]["c"]) if rows else b""
+    if head.startswith(b"PAR1"):
+        return "parquet"
+    first = spark.read.text(path).limit(1).collect()
+    line = first[0][0] if first else ""
+    return "tskv" if line.startswith("tskv\t") else "jsonl" if line.lstrip().startswith("{") else "json" if line.lstrip().startswith("[") else "csv"
+
+
+def whole_number(value: Column, kind: str) -> Column:
+    """A rating as a whole number: of a text the first one, of a double the nearest (halves to even), of a boolean none."""
+    if kind == "boolean":
+        return F.lit(None).cast("int")
+    return F.bround(value).cast("int") if kind in ("double", "float") else F.nullif(F.regexp_extract(value.cast("string"), r"-?\d+", 0), F.lit("")).try_cast("int")
+
+
 def map_columns(df: DataFrame) -> DataFrame:
     """The sixteen fields as text from whatever columns there are; a missing field is null, unknown columns go."""
     there = {c.strip().lower(): c for c in reversed(df.columns)}
     picked = {f: next((there[a] for a in v.split() if a in there), None) for f, v in ALIASES.items()}
-    return df.select(*[(F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")).alias(f) for f, c in picked.items()])
+    kinds = dict(df.dtypes)
+    value = lambda f, c: whole_number(F.col(f"`{c}`"), kinds[c]) if f == "rating" and kinds[c] in ("double", "float", "boolean") else F.col(f"`{c}`")
+    return df.select(*[(value(f, c).cast("string") if c else F.lit(None).cast("string")).alias(f) for f, c in picked.items()])
 
 
 def normalise_rows(df: DataFrame, sources: DataFrame | None = None) -> DataFrame:
