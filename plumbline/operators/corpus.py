@@ -115,7 +115,7 @@ def human_duration(days: Column) -> Column:
 
 
 def percent(fraction: Column, digits: int = 1) -> Column:
-    return F.concat(F.format_number(rnd(fraction * 100, digits), f"0.{'0' * digits}" if digits else "0"), F.lit("%"))
+    return F.when(fraction.isNotNull(), F.format_string(f"%.{digits}f%%", rnd(fraction * 100, digits)))
 
 
 def rating_mix(counts: list[Column]) -> Column:

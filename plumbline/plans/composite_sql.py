@@ -166,3 +166,12 @@ ORACLES["place_phrases"] = f"""WITH {RV}, {_TOK2}, a AS (
   SELECT place_id, phrase, n, (row_number() OVER w)::INT AS rank FROM c WINDOW w AS (PARTITION BY place_id ORDER BY n DESC, phrase) QUALIFY row_number() OVER w <= 5"""
 ORACLES["complete_places"] = f"""WITH {RV}, v AS (SELECT DISTINCT review_id FROM embeddings_cache WHERE model_name = 'minilm-multi-384' AND len(embedding) = 384)
   SELECT place_id, review_id FROM rv WHERE place_id IS NOT NULL QUALIFY count(*) OVER (PARTITION BY place_id) = sum((review_id IN (SELECT review_id FROM v))::INT) OVER (PARTITION BY place_id)"""
+
+# the k-core by rounds: each leaves out what the round before puts below a floor
+ORACLES["kcore_reviews"] = f"""WITH RECURSIVE {RV}, core AS (
+    SELECT 0 AS i, review_id, place_id, reviewer_id FROM rv WHERE place_id IS NOT NULL AND reviewer_id IS NOT NULL
+    UNION ALL
+    SELECT i + 1, review_id, place_id, reviewer_id FROM (
+      SELECT *, count(*) OVER (PARTITION BY place_id) AS a, count(*) OVER (PARTITION BY reviewer_id) AS b, (SELECT count(*) FROM core) AS before,
+        count(*) OVER (PARTITION BY reviewer_id, place_id) AS same FROM core WHERE i < 40) WHERE a >= 10 AND b >= 3 AND same < b)
+  SELECT review_id, place_id, reviewer_id FROM core WHERE i = 40"""

@@ -40,6 +40,15 @@ def p1_features(spark: SparkSession, d: str) -> DataFrame:
     return features.entity_features(long, "reviewer_id", "place_category", kinds, as_of="2025-01-01")
 
 
+def p1_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """The feature table's measures of each type, a row each."""
+    return features.by_type(p1_features(spark, d), "reviewer_id", features.type_list(table(spark, d, "reviews"), "place_category"))
+
+
+def p1_totals(spark: SparkSession, d: str) -> DataFrame:
+    return p1_features(spark, d).select("reviewer_id", "review_count", *features.PER_TYPE)
+
+
 def _p3(spark: SparkSession, d: str) -> DataFrame:
     return records.parse_records(table(spark, d, "raw_review_lines"), REVIEW_FIELDS)
 
@@ -81,5 +90,5 @@ def p6_timestamps(spark: SparkSession, d: str) -> DataFrame:
     return _p6(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_features, p3_found, p3_rows, p4_found, p4_rolling, p6_found, p6_timestamps)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_features, p1_by_type, p1_totals, p3_found, p3_rows, p4_found, p4_rolling, p6_found, p6_timestamps)}
 ORACLES = dict(general_sql.ORACLES)

@@ -148,4 +148,24 @@ SELECT review_id, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') AS publis
     WHEN epoch(timezone(zone, to_timestamp(w - o1)))::BIGINT - (w - o1) = o1 OR epoch(timezone(zone, to_timestamp(w - o2)))::BIGINT - (w - o2) = o2 THEN 'exact' ELSE 'nonexistent' END AS zone_note
 FROM inst"""
 
-ORACLES = {"p4_rolling": P4_ROLLING, "p6_timestamps": P6_TIMESTAMPS, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p6_found": P6_FOUND}
+_MEASURES = """count(*) AS review_count, count(us) AS dated_count, min(make_timestamp(us)::DATE) AS first_day, max(make_timestamp(us)::DATE) AS last_day,
+  greatest(1, max(make_timestamp(us)::DATE) - min(make_timestamp(us)::DATE))::INT AS active_period_days, (DATE '2025-01-01' - max(make_timestamp(us)::DATE))::INT AS recency_days,
+  sum(rating)::BIGINT AS rating_sum, sum(rating)::DOUBLE / count(rating) AS rating_avg"""
+_MEASURES = _MEASURES.replace("greatest(1, max", "CASE WHEN count(us) > 0 THEN greatest(1, max").replace("::DATE))::INT AS active", "::DATE)) END::INT AS active").replace(
+    "/ count(rating)", "/ nullif(count(rating), 0)"
+)
+P1_BY_TYPE = f"WITH {INSTANTS} SELECT reviewer_id, place_category AS type, {_MEASURES} FROM inst WHERE reviewer_id IS NOT NULL AND place_category IS NOT NULL GROUP BY ALL"
+P1_TOTALS = f"WITH {INSTANTS} SELECT reviewer_id, {_MEASURES} FROM inst WHERE reviewer_id IS NOT NULL GROUP BY ALL"
+
+_BLANK = "nullif(t[{0}], '')"
+_FIELDS = "review_id place_id place_name place_category reviewer_id reviewer_name rating text published_at city region country latitude longitude source source_url".split()
+_LON = f"replace(regexp_replace(f[14], '{_S}', '', 'g'), ',', '.')"
+_TYPED = {"rating": "try_cast(stars AS INT)", "latitude": r"CASE WHEN regexp_full_match(lat, '[+-]?\d+(\.\d+)?') THEN try_cast(lat AS DOUBLE) END", "longitude": f"CASE WHEN try_cast({_LON} AS DOUBLE) BETWEEN -180 AND 180 THEN try_cast({_LON} AS DOUBLE) END"}
+P3_ROWS = P3_FOUND[: P3_FOUND.index("SELECT line_id, reason FROM h WHERE")].replace("SELECT line_id, CASE WHEN NOT quoted", "SELECT line_id, t, f, stars, lat, CASE WHEN NOT quoted") + (
+    "SELECT line_id, " + ", ".join(f"{_TYPED[n] if n in _TYPED else _BLANK.format(i)} AS {n}" for i, n in enumerate(_FIELDS, 1)) + " FROM h WHERE reason IS NULL"
+)
+
+ORACLES = {
+    "p1_by_type": P1_BY_TYPE, "p1_totals": P1_TOTALS, "p3_rows": P3_ROWS, "p4_rolling": P4_ROLLING, "p6_timestamps": P6_TIMESTAMPS, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND,
+    "p6_found": P6_FOUND,
+}

@@ -8,6 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import features, records, reviews, rolling
 
 FIELDS = (
@@ -138,3 +140,13 @@ def test_reasons_and_types(spark):
     assert got[11]["error_offset"] == 0 and got[12]["error_offset"] == 1 and got[13]["error_offset"] == 3
     assert got[9]["error_field"] == 2
     assert records.parse_records(df.limit(0), FIELDS).count() == 0
+
+
+def test_features_of_types_whose_names_clash(spark):
+    rows = [("u", "other", 1), ("u", "Cafe", 2), ("u", "cafe", 3), ("u", "new", 4)]
+    df = spark.createDataFrame(rows, "reviewer_id string, place_category string, rating int").withColumn("utc_day", F.lit(None).cast("date"))
+    long = features.entity_type_table(df, "reviewer_id", "place_category")
+    wide = features.entity_features(long, "reviewer_id", "place_category", ["other", "Cafe", "cafe"])
+    row = wide.select("*").first().asDict()
+    assert (row["rating_sum_other"], row["rating_sum_Cafe"], row["rating_sum_cafe_2"], row["rating_sum_other_2"], row["rating_sum"]) == (1, 2, 3, 4, 10)
+    assert {(r["type"], r["rating_sum"]) for r in features.by_type(wide, "reviewer_id", ["other", "Cafe", "cafe"]).collect()} == {("other", 1), ("Cafe", 2), ("cafe", 3)}

@@ -18,7 +18,7 @@ CHEAP = (
     "place_rollup place_meta_best store_counts filtered_reviews data_quality rating_distribution category_quartiles place_ranking burst_events temporal_gap_signal"
     " temporal_peer_signal reviewer_metrics category_experience local_familiarity specificity content_token_counts phrase_reuse unique_detail style_uniformity"
     " exact_duplicate_groups family_components cleaned_labels confusion_sweep specificity_spearman label_coverage largest_remainder cumulative_pick dataset_fingerprint"
-    " cache_misses mean_cosine p1_found p3_found p4_found p6_found"
+    " cache_misses mean_cosine p1_found p1_by_type p3_found p3_rows p4_found p6_found review_evidence place_phrases family_context single_categories reviewer_periods kcore_reviews centre_cosines"
 ).split()
 
 

@@ -63,3 +63,14 @@ def test_clashing_names_repeats_and_empty(spark):
     assert out.columns.count("instant_us") == 1 and out.count() == 3
     assert ts.normalise_timestamps(df).count() == 1
     assert ts.normalise_timestamps(df.limit(0)).count() == 0
+
+
+def test_no_short_interval_of_a_zone_is_missed():
+    import zoneinfo
+
+    zone = zoneinfo.ZoneInfo("Asia/Gaza")
+    spans = ts.offset_intervals("Asia/Gaza")
+    for k in range(3 * 365):
+        t = dt.datetime(2040, 1, 1, 12, tzinfo=dt.timezone.utc) + dt.timedelta(days=k)
+        s = int(t.timestamp())
+        assert next(o for a, b, o in spans if a <= s < b) == t.astimezone(zone).utcoffset().total_seconds()
