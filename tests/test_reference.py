@@ -132,6 +132,7 @@ def test_emerging_keywords_equal_brute_force_in_any_year(spark, tmp_path):
         known["published_at"] = f"{anchor - dt.timedelta(days=age)}T00:00:00.000000"
         rows.append(tuple(known.get(c) for c in columns.names))
     spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/reviews.parquet")
+    spark.createDataFrame([], "source string, naive_zone string, date_order string").write.parquet(f"{tmp_path}/review_sources.parquet")
     got = {}
     for r in entry.queries()["emerging_keywords"](spark, str(tmp_path)).collect():
         got.setdefault(r["country"], {})[r["term"]] = (r["ratio"], r["recent"])

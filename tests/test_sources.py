@@ -115,21 +115,20 @@ def test_annotations_are_a_log_with_a_lock(spark, tmp_path):
     assert store.verify("f1") and store.status() == "FINALIZED"
 
 
-class _Lengths:
-    name, dim = "lengths", 2
-
-    def encode(self, texts):
-        return [[len(t), 1.0] for t in texts]
+def test_vector_cache_encodes_misses_only(spark, tmp_path):
+    class Lengths:  # here, so that it reaches the workers by value
+        name, dim = "lengths", 2
 
+        def encode(self, texts):
+            return [[len(t), 1.0] for t in texts]
 
-def test_vector_cache_encodes_misses_only(spark, tmp_path):
     cache = providers.VectorCache(spark, str(tmp_path / "v"))
     df = lambda *rows: spark.createDataFrame(rows, "review_id string, text string")
-    assert {tuple(map(str, r)) for r in cache.vectors(df(("a", "xy"), ("b", None)), _Lengths()).collect()} == {("a", "[2.0, 1.0]")}
-    assert {r["review_id"] for r in cache.vectors(df(("a", "xy"), ("c", "x")), _Lengths()).collect()} == {"a", "c"}
+    assert {tuple(map(str, r)) for r in cache.vectors(df(("a", "xy"), ("b", None)), Lengths()).collect()} == {("a", "[2.0, 1.0]")}
+    assert {r["review_id"] for r in cache.vectors(df(("a", "xy"), ("c", "x")), Lengths()).collect()} == {"a", "c"}
     assert cache.store.current().count() == 2
     reader = providers.VectorCache(spark, str(tmp_path / "v"), read_only=True)
-    assert reader.vectors(df(("a", "changed"),), _Lengths()).first()["embedding"] == [7.0, 1.0] and cache.store.current().count() == 2
+    assert reader.vectors(df(("a", "changed"),), Lengths()).first()["embedding"] == [7.0, 1.0] and cache.store.current().count() == 2
     digest = providers.content_digest(df(("a", "x"), ("b", None))).first()["digest"]
     assert providers.verify_manifest(df(("b", None), ("a", "x")), 2, digest) == [] and len(providers.verify_manifest(df(("b", "y")), 2, digest)) == 2
     assert not providers.table_exists(spark, "no_such_table")
