@@ -45,11 +45,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage with files that survive the loss of any executor, compressed and columnar,
-    unlike an RDD checkpoint.
+    unlike an RDD checkpoint. What a loop does not drop itself goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/plumbline-{_RUN}/{label}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
     return spark.read.schema(df.schema).parquet(path)
 
 
