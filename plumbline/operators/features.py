@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,11 @@ def entity_type_table(df: DataFrame, entity: str, kind: str, day: str = "utc_day
     )
 
 
-def type_list(long: DataFrame, kind: str, most: int = 1000) -> list[str]:
-    """The types that occur, in order; more than ``most`` is an error, never a cut."""
-    found = [r[0] for r in long.where(F.col(kind).isNotNull()).select(kind).distinct().limit(most + 1).collect()]
-    if len(found) > most:
+def type_list(long: DataFrame, kind: str, most: int | None = 1000) -> list[str]:
+    """The types that occur, in order; more than ``most`` is an error, never a cut. None: all, whatever their number."""
+    kinds = long.where(F.col(kind).isNotNull()).select(kind).distinct()
+    found = [r[0] for r in (kinds if most is None else kinds.limit(most + 1)).collect()]
+    if most is not None and len(found) > most:
         raise ValueError(f"more than {most} types; pass an explicit list")
     return sorted(found)
 
@@ -110,3 +113,14 @@ def by_type(features: DataFrame, entity: str, types: list[str], prefix: str = "n
     cell = lambda n, label: F.struct(F.lit(n).alias("type"), F.col(f"`{prefix}{label}`").alias("review_count"), *[F.col(f"`{c}_{label}`").alias(c) for c in PER_TYPE])
     cells = F.array(*[cell(n, label) for n, label in zip(names, type_labels(names), strict=False)])
     return features.select(entity, F.explode(F.filter(cells, lambda x: x["review_count"] > 0)).alias("x")).select(entity, "x.*")
+
+
+def types_where(features: DataFrame, entity: str, kind: str, types: list[str], test: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
+    """The pairs (entity, ``kind``) of ``types`` whose columns in ``entity_features`` pass ``test``, which takes a name of
+    PER_TYPE to the type's column. What it does not ask for need not be computed."""
+    names = list(dict.fromkeys(types))
+    passed = []
+    for n, label in zip(names, type_labels(names), strict=False):
+        quoted = label.replace("`", "``")
+        passed.append(F.when(test(lambda c, q=quoted: F.col(f"`{c}_{q}`")), F.lit(n)))
+    return features.select(entity, F.explode(F.array_compact(F.array(*passed).cast("array<string>"))).alias(kind))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ REVIEW_FIELDS = (
     " latitude longitude source source_url"
 ).split()
 
+#: Categories that one feature table of ``p1_found`` holds; more get a table for each so many.
+TYPES = 500
+
 
 def _dated(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Current reviews with their UTC day."""
@@ -27,11 +32,16 @@ def _p1_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        _p1_long(spark, d)
-        .where(F.col("place_category").isNotNull() & (F.col("dated_count") >= 4) & (F.datediff("last_day", "first_day") <= 1))
-        .select("reviewer_id", "place_category")
-    )
+    """Read from the feature table's columns of each category; an active period of 1 day is one date or two in a row."""
+    long = _p1_long(spark, d)
+    kinds = features.type_list(table(spark, d, "reviews"), "place_category", most=None)
+    brief = lambda of: (of("dated_count") >= 4) & (of("active_period_days") <= 1)
+    found = []
+    for i in range(0, max(1, len(kinds)), TYPES):
+        some = kinds[i : i + TYPES]
+        wide = features.entity_features(long, "reviewer_id", "place_category", some, as_of="2025-01-01")
+        found.append(features.types_where(wide, "reviewer_id", "place_category", some, brief))
+    return reduce(DataFrame.union, found)
 
 
 def p1_features(spark: SparkSession, d: str) -> DataFrame:

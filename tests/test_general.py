@@ -2,6 +2,7 @@ import csv
 import datetime as dt
 import io
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.operators import features, records, reviews, rolling
+from plumbline.plans import general
 
 FIELDS = (
     "review_id place_id place_name place_category reviewer_id reviewer_name rating text published_at city region country latitude longitude source source_url"
@@ -150,3 +152,34 @@ def test_features_of_types_whose_names_clash(spark):
     row = wide.select("*").first().asDict()
     assert (row["rating_sum_other"], row["rating_sum_Cafe"], row["rating_sum_cafe_2"], row["rating_sum_other_2"], row["rating_sum"]) == (1, 2, 3, 4, 10)
     assert {(r["type"], r["rating_sum"]) for r in features.by_type(wide, "reviewer_id", ["other", "Cafe", "cafe"]).collect()} == {("other", 1), ("Cafe", 2), ("cafe", 3)}
+
+
+@pytest.mark.parametrize("held", [500, 2])
+def test_short_categories_are_read_from_the_pivoted_table(spark, tmp_path, monkeypatch, held):
+    monkeypatch.setattr(general, "TYPES", held, raising=False)
+    rng = random.Random(4)
+    kinds, days = ["other", "Other", "a.b`c", "", "it's", None], ["2024-02-28", "2024-02-29", "2024-03-01", "never", None]
+    rows = []
+    for who in ("u1", "u2", "u3", None):
+        for kind in kinds:
+            some = rng.choice([days[:2] + days[3:], days[1:], days[::2]])
+            rows += [(f"r{len(rows) + i}", who, kind, 5, rng.choice(some), "s", "2024-05-01") for i in range(rng.randint(3, 9))]
+    rows += [(*r[:3], 1, *r[4:6], "2024-06-01") for r in rows[::3]]
+    fields = "review_id string, reviewer_id string, place_category string, rating int, published_at string, source string, ingested_at string"
+    write = lambda df, name: df.write.parquet(f"{tmp_path}/{name}.parquet")
+    write(spark.createDataFrame([("s", "UTC", "dmy")], "source string, naive_zone string, date_order string"), "review_sources")
+
+    def found(some):
+        shutil.rmtree(tmp_path / "reviews.parquet", ignore_errors=True)
+        write(spark.createDataFrame(some, fields), "reviews")
+        df = general.p1_found(spark, str(tmp_path))
+        return sorted(map(tuple, df.collect())), "pivotfirst" in df._jdf.queryExecution().optimizedPlan().toString()
+
+    dated = {}
+    for r in {r[0]: r for r in rows}.values():
+        if r[1] and r[2] is not None and r[4] and r[4] != "never":
+            dated.setdefault(r[1:3], []).append(dt.date.fromisoformat(r[4]))
+    want = sorted(k for k, v in dated.items() if len(v) >= 4 and (max(v) - min(v)).days <= 1)
+    assert found(rows) == (want, True) and 3 <= len(want) < len(dated)
+    assert found([r for r in rows if r[2] is None])[0] == []
+    assert len(features.type_list(spark.range(1100).selectExpr("string(id) AS k"), "k", None)) == 1100
