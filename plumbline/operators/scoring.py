@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.config import CONFIG, CoordinatedConfig, TemplatedConfig, WeightConfig
 from plumbline.functions.num import band, clamp, rnd, total
 from plumbline.functions.text import squeeze
-from plumbline.operators import reviewers, temporal, texts
+from plumbline.operators import reuse, reviewers, temporal, texts
 from plumbline.session import materialise
 
 
@@ -19,18 +19,7 @@ def templated_scores(rv: DataFrame, cfg: TemplatedConfig = CONFIG.templated, pee
     ``peers``: (review_id, peers), near-identical reviews of the place by their vectors, for the places whose
     reviews all have one; the others are compared by the bigrams of their texts.
     """
-    days = temporal.peer_counts(temporal.daily_counts(rv)).select("place_id", "day", F.col("peers").alias("near"))
-    near = rv.select("place_id", "review_id", "day").join(days, ["place_id", "day"], "left").select("review_id", (F.least(F.col("near"), F.lit(5)) / 5).alias("temporal"))
-    style = texts.style_uniformity(rv).select("place_id", "uniformity")
-    base = texts.with_specificity(rv).select("review_id", "place_id", "spec").join(style, "place_id", "left")
-    for part in (
-        texts.phrase_reuse(rv, cfg).select("review_id", "phrase_reuse"),
-        texts.bigram_peers(rv, cfg),
-        texts.structure_similarity(rv),
-        texts.unique_detail(rv, cfg).select("review_id", "low_unique_detail"),
-        near,
-    ):
-        base = base.join(part, "review_id", "left")
+    base = reuse.place_signals(texts.with_specificity(rv), cfg)
     if peers is not None:
         base = base.join(peers.select("review_id", F.col("peers").alias("by_vector")), "review_id", "left").withColumn("peers", F.coalesce("by_vector", "peers"))
     s = lambda c: F.coalesce(F.col(c), F.lit(0.0))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from plumbline.config import CONFIG, SpecificityConfig, TemplatedConfig
 from plumbline.functions import lexicon
@@ -19,21 +24,24 @@ def _any(text: Column, phrases: list[str]) -> Column:
 
 def specificity(text: Column, cfg: SpecificityConfig = CONFIG.specificity) -> Column:
     """0 to 100: how concrete a text is; 0 for null and blank texts."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    return _specificity(F.lower(F.coalesce(text, F.lit(""))), cfg, _any)
+
+
+def _specificity(t: Column, cfg: SpecificityConfig, has: Callable[[Column, list[str]], Column]) -> Column:
     add = lambda cond, points: F.when(cond, F.lit(points)).otherwise(0.0)
     score = (
         F.lit(cfg.base)
         + add(t.rlike(r"\p{Nd}"), cfg.numbers)
         + add(F.regexp_count(t, F.lit(f"[{WORD}]{{6,}}")) >= 5, cfg.entities)
         + add(t.rlike(f"(?<![{WORD}])({'|'.join(lexicon.WAIT)})(?![{WORD}])"), cfg.wait)
-        + add(_any(t, lexicon.PRODUCTS), cfg.product)
-        + add(_any(t, lexicon.STAFF), cfg.staff)
-        + add(_any(t, lexicon.NARRATIVE), cfg.narrative)
+        + add(has(t, lexicon.PRODUCTS), cfg.product)
+        + add(has(t, lexicon.STAFF), cfg.staff)
+        + add(has(t, lexicon.NARRATIVE), cfg.narrative)
         + add(F.length(t) > 200, cfg.long_text)
     )
     score = F.when(F.length(t) < 50, score * cfg.short_factor).otherwise(score)
     # one generic phrase already exceeds the cap, so the penalty does not depend on their number
-    score = score - add(_any(t, lexicon.GENERIC), min(cfg.generic, cfg.generic_cap))
+    score = score - add(has(t, lexicon.GENERIC), min(cfg.generic, cfg.generic_cap))
     return F.when(F.trim(squeeze(t)) == "", 0.0).otherwise(rnd(clamp(score, 0.0, 100.0), 1))
 
 
@@ -42,6 +50,23 @@ def with_specificity(rv: DataFrame) -> DataFrame:
     return rv if "spec" in rv.columns else rv.withColumn("spec", specificity(F.col("text")))
 
 
+def specificity_table(rv: DataFrame) -> DataFrame:
+    """``rv`` with ``spec`` as ``with_specificity`` has it, for whole tables: the word lists are sought in Arrow batches by
+    automata, in one pass over a text, which takes a fraction of the time of Java's alternatives."""
+    lists = [lexicon.PRODUCTS, lexicon.STAFF, lexicon.NARRATIVE, lexicon.GENERIC]
+    named = [f"__has{i}" for i in range(len(lists))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [pc.match_substring_regex(b.column("__low"), "|".join(p)) for p in lists]
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], names=[*b.schema.names, *named])
+
+    low = rv.withColumn("__low", F.lower(F.coalesce(F.col("text"), F.lit(""))))
+    schema = StructType([*low.schema.fields, *[StructField(n, BooleanType()) for n in named]])
+    score = _specificity(F.col("__low"), CONFIG.specificity, lambda t, p: F.col(named[lists.index(p)]))
+    return low.mapInArrow(run, schema).withColumn("spec", score).drop("__low", *named)
+
+
 def specificity_scores(rv: DataFrame) -> DataFrame:
     return rv.select("review_id", specificity(F.col("text")).alias("specificity")).withColumn("band", band(F.col("specificity"), 40, 65))
 
@@ -154,6 +179,20 @@ def exact_groups(rv: DataFrame) -> DataFrame:
     )
 
 
+def set_links(prefix: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """(place_id, h, k): for each of ``sets`` (place_id, h, s, m) how many copies ``m`` the other sets of its place with a
+    Jaccard similarity of at least ``t`` have; sets without any are left out. ``prefix``: (place_id, h, n, g), the
+    elements g by which each set, of n elements, is found."""
+    other = prefix.select("place_id", "g", F.col("h").alias("h2"), F.col("n").alias("n2"))
+    cand = prefix.join(other, ["place_id", "g"]).where((F.col("h") < F.col("h2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * t)).select("place_id", "h", "h2").distinct()
+    full = sets.select("place_id", "h", "s", "m")
+    pairs = cand.join(full, ["place_id", "h"]).join(full.select("place_id", F.col("h").alias("h2"), F.col("s").alias("s2"), F.col("m").alias("m2")), ["place_id", "h2"])
+    both = F.size(F.array_intersect("s", "s2"))
+    pairs = pairs.where(both >= t * (F.size("s") + F.size("s2") - both))
+    links = pairs.select("place_id", "h", F.col("m2").alias("k")).union(pairs.select("place_id", F.col("h2").alias("h"), F.col("m").alias("k")))
+    return links.groupBy("place_id", "h").agg(F.sum("k").alias("k"))
+
+
 def bigram_peers(rv: DataFrame, cfg: TemplatedConfig = CONFIG.templated) -> DataFrame:
     """Per review: other reviews of its place whose sets of content bigrams have a Jaccard similarity of at
     least ``peer_similarity`` (the fallback without vectors).
@@ -172,13 +211,6 @@ def bigram_peers(rv: DataFrame, cfg: TemplatedConfig = CONFIG.templated) -> Data
     prefix = ordered.select(
         "place_id", "h", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * t) + 1).cast("int"))).alias("x")
     ).select("place_id", "h", "n", F.col("x.g").alias("g"))
-    other = prefix.select("place_id", "g", F.col("h").alias("h2"), F.col("n").alias("n2"))
-    cand = prefix.join(other, ["place_id", "g"]).where((F.col("h") < F.col("h2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * t)).select("place_id", "h", "h2").distinct()
-    full = sets.select("place_id", "h", "s", "m")
-    pairs = cand.join(full, ["place_id", "h"]).join(full.select("place_id", F.col("h").alias("h2"), F.col("s").alias("s2"), F.col("m").alias("m2")), ["place_id", "h2"])
-    both = F.size(F.array_intersect("s", "s2"))
-    pairs = pairs.where(both >= t * (F.size("s") + F.size("s2") - both))
-    links = pairs.select("place_id", "h", F.col("m2").alias("k")).union(pairs.select("place_id", F.col("h2").alias("h"), F.col("m").alias("k")))
-    near = links.groupBy("place_id", "h").agg(F.sum("k").alias("k"))
+    near = set_links(prefix, sets, t)
     per = sets.join(near, ["place_id", "h"], "left").select("place_id", "s", (F.col("m") - 1 + F.coalesce("k", F.lit(0))).alias("peers"))
     return base.join(per, ["place_id", "s"], "left").select("review_id", F.coalesce("peers", F.lit(0)).cast("long").alias("peers"))

@@ -19,9 +19,9 @@ def query(f):
     return f
 
 
-def _reviews(spark, d):
-    """The review view with specificity as a table: the composite scores read it many times."""
-    return materialise(texts.with_specificity(rv(spark, d)), "reviews")
+def _reviews(spark, d, *columns):
+    """The review view, all of it or these columns, with specificity as a table: the composite scores read it many times."""
+    return materialise(texts.specificity_table(rv(spark, d, *columns)), "reviews")
 
 
 def _complete(spark, d, r, least):

@@ -155,7 +155,7 @@ def group_agreement(spark, d):
 @query
 def challenge_strata(spark, d):
     """Samples of disjoint strata in their order: high, medium, low and duplicate, without the evaluation sample."""
-    r = composite._reviews(spark, d)
+    r = composite._reviews(spark, d, "place_id", "text", "day")
     levels = scoring.templated_scores(r).select("review_id", F.when(F.col("templated") >= 65, "high").when(F.col("templated") >= 40, "medium").otherwise("low").alias("stratum"))
     first = sampling.simple_sample(r, "review_id", 200, 7)
     three = materialise(sampling.stratified_sample(levels.join(first, "review_id", "left_anti"), "review_id", "stratum", {"high": 30, "medium": 40, "low": 20}, 11), "sample")

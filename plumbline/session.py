@@ -49,7 +49,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/plumbline-{_RUN}/{label}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path).getParent()
     root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
