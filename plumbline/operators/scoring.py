@@ -133,7 +133,7 @@ def review_weights(rv: DataFrame, evidence: DataFrame, as_of: str, cfg: WeightCo
     """(review_id, place_id, rating, weight): trust in [least, most]; ``as_of`` takes the place of today."""
     rv = texts.with_specificity(rv)
     exp_ = materialise(reviewers.category_experience(rv), "experience")
-    rel = reviewers.reviewer_relevance(rv, experience=exp_)
+    rel = materialise(reviewers.reviewer_relevance(rv, experience=exp_), "relevance")
     q = rv.select("review_id", "reviewer_id", "place_id", "place_category", "city", "region", "rating", "day", "spec")
     r = rel.select(*[F.col(c).alias("r_" + c) for c in ("reviewer_id", "place_category", "city", "region")], "relevance")
     same = [F.col(c).eqNullSafe(F.col("r_" + c)) for c in ("place_category", "city", "region")]

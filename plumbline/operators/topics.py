@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.operators.texts import content_tokens, ngrams
+from plumbline.session import materialise
 
 
 def complete_places(rv: DataFrame, vectors: DataFrame, least: int = 2) -> DataFrame:
@@ -17,11 +18,13 @@ def complete_places(rv: DataFrame, vectors: DataFrame, least: int = 2) -> DataFr
     One review without a vector leaves its place out. ``vectors``: (review_id, embedding), one row per review.
     """
     own = rv.select("place_id", "review_id").where("place_id IS NOT NULL")
-    there = own.join(vectors.select("review_id", "embedding"), "review_id")
-    have = there.groupBy("place_id").agg(F.count(F.lit(1)).alias("k"))
+    have = own.join(vectors.select("review_id"), "review_id").groupBy("place_id").agg(F.count(F.lit(1)).alias("k"))
     need = own.groupBy("place_id").agg(F.count(F.lit(1)).alias("n"))
     whole = have.join(need, "place_id").where((F.col("k") == F.col("n")) & (F.col("n") >= least)).select("place_id")
-    return there.join(whole, "place_id", "left_semi").select("place_id", "review_id", "embedding")
+    kept = materialise(own.join(whole, "place_id", "left_semi"), "kept")
+    # only the vectors of these reviews move
+    there = vectors.join(kept.select("review_id"), "review_id", "left_semi")
+    return kept.join(there, "review_id").select("place_id", "review_id", "embedding")
 
 
 def mutual_reachability_tree(x: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

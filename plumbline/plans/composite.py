@@ -29,24 +29,28 @@ def _complete(spark, d, r, least):
     return topics.complete_places(r, cache.where(F.size("embedding") == 384).groupBy("review_id").agg(F.min("embedding").alias("embedding")), least)
 
 
-def _scored(spark, d):
-    """(reviews, templated, families, clusters, signals): what the composite scores have in common."""
-    r = _reviews(spark, d)
-    complete = _complete(spark, d, r, 2)
-    templated = materialise(scoring.templated_scores(r, peers=topics.semantic_peers(complete)), "templated")
-    families = materialise(graph.families(_edges(spark, d), graph.connected_components(_edges(spark, d), "u", "v")), "families")
-    return r, templated, families, topics.topic_clusters(complete), scoring.event_signals(r)
+def _scored(spark, d, *columns):
+    """(reviews, templated, families, clusters, signals): what the composite scores have in common. ``columns``: those of the reviews that are needed besides."""
+    r = _reviews(spark, d, *dict.fromkeys(["place_id", "rating", "text", "day", *columns]))
+    complete = materialise(_complete(spark, d, r, 2), "complete")
+    # as tables, so what is small is known to be before the reviews are shuffled to it
+    peers, clusters = materialise(topics.semantic_peers(complete), "peers"), materialise(topics.topic_clusters(complete), "clusters")
+    templated = materialise(scoring.templated_scores(r, peers=peers), "templated")
+    edges = _edges(spark, d)
+    components = materialise(graph.connected_components(edges, "u", "v"), "components")
+    families = materialise(graph.families(edges, components), "families")
+    return r, templated, families, clusters, scoring.event_signals(r)
 
 
 @query
 def templated_scores(spark, d):
-    r = _reviews(spark, d)
+    r = _reviews(spark, d, "place_id", "text", "day")
     return scoring.templated_scores(r, peers=topics.semantic_peers(_complete(spark, d, r, 2)))
 
 
 @query
 def coordinated_places(spark, d):
-    r, templated, families, clusters, signals = _scored(spark, d)
+    r, templated, families, clusters, signals = _scored(spark, d, "reviewer_id")
     return scoring.coordinated_places(r, templated, families, clusters, signals=signals)
 
 
@@ -57,7 +61,7 @@ def review_evidence(spark, d):
 
 
 def _weights(spark, d):
-    r, templated, families, clusters, signals = _scored(spark, d)
+    r, templated, families, clusters, signals = _scored(spark, d, "reviewer_id", "place_category", "city", "region")
     evidence = materialise(scoring.review_evidence(r, templated, families, clusters, signals), "evidence")
     return scoring.review_weights(r, evidence, AS_OF)
 

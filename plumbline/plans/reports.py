@@ -20,10 +20,11 @@ def query(f):
 
 
 def _summary(spark, d):
-    r, templated, fam, clusters, signals = composite._scored(spark, d)
+    r, templated, fam, clusters, signals = composite._scored(spark, d, *places.PLACE_KEYS, "reviewer_id", "published_at")
     evidence = materialise(scoring.review_evidence(r, templated, fam, clusters, signals), "evidence")
-    weighted = scoring.weighted_rating(scoring.review_weights(r, evidence, composite.AS_OF))
-    coordinated = scoring.coordinated_places(r, templated, fam, clusters, signals=signals)
+    # each as a table: in one plan they need more memory than the driver has
+    weighted = materialise(scoring.weighted_rating(scoring.review_weights(r, evidence, composite.AS_OF)), "weighted")
+    coordinated = materialise(scoring.coordinated_places(r, templated, fam, clusters, signals=signals), "coordinated")
     return materialise(summary.place_summary(r, places.place_meta(r), weighted, fam, templated, coordinated, clusters), "summary")
 
 

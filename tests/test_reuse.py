@@ -63,7 +63,17 @@ def _written(spark, name, tmp_path):
     return shuffled() - before, spark.read.parquet(str(tmp_path / name)).count()
 
 
+def _size(*tables):
+    return sum(os.path.getsize(f"{DATA}/{t}.parquet") for t in tables)
+
+
 def test_challenge_strata_shuffles_little(spark, tmp_path):
-    size = os.path.getsize(f"{DATA}/reviews.parquet") + os.path.getsize(f"{DATA}/duplicate_edges.parquet")
     written, rows = _written(spark, "challenge_strata", tmp_path)
-    assert rows > 0 and written < 15 * size
+    assert rows > 0 and written < 15 * _size("reviews", "duplicate_edges")
+
+
+@pytest.mark.parametrize("name", ["place_summary", "coordinated_places", "review_weights"])
+def test_scores_shuffle_little(spark, tmp_path, name):
+    written, rows = _written(spark, name, tmp_path)
+    print(name, written / _size("reviews", "duplicate_edges", "embeddings_cache"))
+    assert rows > 0 and written < 15 * _size("reviews", "duplicate_edges", "embeddings_cache")
