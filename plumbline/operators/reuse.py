@@ -226,7 +226,7 @@ def _sentences(values: list[str], place: np.ndarray) -> tuple[np.ndarray, np.nda
 def _temporal(day: np.ndarray, dated: np.ndarray, place: np.ndarray, reach: int = 7) -> np.ndarray:
     at = place[dated] * 10_000_000 + (day[dated] + 1_000_000)
     line = np.sort(at)
-    out = np.zeros(len(day))
+    out = np.ones(len(day))  # in full without a day, as the SQL has it
     out[dated] = np.minimum(np.searchsorted(line, at + reach, side="right") - np.searchsorted(line, at - reach) - 1, 5) / 5
     return out
 
@@ -320,14 +320,14 @@ def _crowded(rv: DataFrame, dealt: DataFrame, cfg: TemplatedConfig) -> DataFrame
     days = temporal.peer_counts(rv.where("day IS NOT NULL").groupBy("place_id", "day").agg(F.count(F.lit(1)).alias("n"))).select("place_id", "day", (F.least(F.col("peers"), F.lit(5)) / 5).alias("temporal"))
     out = found.drop("s").join(peers, ["place_id", "h"], "left").join(texts.structure_similarity(rv), "review_id", "left")
     out = out.join(texts.style_uniformity(rv).select("place_id", "uniformity"), "place_id", "left").join(days, ["place_id", "day"], "left")
-    return out.na.fill(0, _SIGNALS).select("review_id", "place_id", "spec", *_SIGNALS)
+    return out.na.fill(1, ["temporal"]).na.fill(0, _SIGNALS).select("review_id", "place_id", "spec", *_SIGNALS)
 
 
 def place_signals(rv: DataFrame, cfg: TemplatedConfig = CONFIG.templated, whole: int = WHOLE) -> DataFrame:
     """(review_id, place_id, spec, phrase_reuse, low_unique_detail, peers, structure, uniformity, temporal) of each review,
     as ``texts.phrase_reuse``, ``unique_detail``, ``bigram_peers``, ``structure_similarity``, ``style_uniformity`` and
-    ``temporal.peer_counts`` have them; 0 where these have none. Reviews without a place have a ``low_unique_detail`` among
-    each other and nothing else. ``rv`` needs ``spec``.
+    ``temporal.peer_counts`` have them; 0 where these have none, but a ``temporal`` of 1 (as in the SQL) without a
+    day. Reviews without a place have that and a ``low_unique_detail`` among each other. ``rv`` needs ``spec``.
     """
     sizes = rv.where("place_id IS NOT NULL").groupBy("place_id").agg(F.ceil(F.count(F.lit(1)) / whole).cast("int").alias("blocks"))
     many = materialise(sizes.where("blocks > 1"), "crowded")  # at most a row for each ``whole`` reviews
@@ -337,7 +337,7 @@ def place_signals(rv: DataFrame, cfg: TemplatedConfig = CONFIG.templated, whole:
     out = usual.repartition("place_id").sortWithinPartitions("place_id").mapInArrow(lambda it: _whole(it, cfg), kinds)
     nowhere = rv.where("place_id IS NULL")
     detail = texts.unique_detail(nowhere.withColumn("place_id", F.lit("")), cfg).select("review_id", "low_unique_detail")
-    nothing = [F.lit(0).cast("long" if s == "peers" else "double").alias(s) for s in _SIGNALS if s != "low_unique_detail"]
+    nothing = [F.lit(int(s == "temporal")).cast("long" if s == "peers" else "double").alias(s) for s in _SIGNALS if s != "low_unique_detail"]
     nowhere = nowhere.join(detail, "review_id", "left").select("review_id", "place_id", "spec", F.coalesce("low_unique_detail", F.lit(0.0)).alias("low_unique_detail"), *nothing)
     out = out.unionByName(nowhere)
     if many.isEmpty():

@@ -39,7 +39,7 @@ def test_signals_equal_the_single_operators(reviews, whole):
     for name, part in parts.items():
         want = {r["review_id"]: r[name] for r in part.collect()}
         assert any(want.values()), name
-        assert {k: v[name] for k, v in got.items()} == {k: want.get(k) or 0 for k in got}, name
+        assert {k: v[name] for k, v in got.items()} == {k: want.get(k, name == "temporal") or 0 for k in got}, name
 
 
 def test_specificity_of_tables_equals_the_expression(reviews):
