@@ -75,5 +75,4 @@ def test_challenge_strata_shuffles_little(spark, tmp_path):
 @pytest.mark.parametrize("name", ["place_summary", "coordinated_places", "review_weights"])
 def test_scores_shuffle_little(spark, tmp_path, name):
     written, rows = _written(spark, name, tmp_path)
-    print(name, written / _size("reviews", "duplicate_edges", "embeddings_cache"))
     assert rows > 0 and written < 15 * _size("reviews", "duplicate_edges", "embeddings_cache")
